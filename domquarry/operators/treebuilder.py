@@ -84,45 +84,28 @@ _SVG_ATTRS = {
     spreadMethod startOffset stdDeviation stitchTiles surfaceScale systemLanguage tableValues targetX targetY textLength viewBox viewTarget
     xChannelSelector yChannelSelector zoomAndPan""".split()
 }
-_QUIRKY = tuple(
-    line.strip()
-    for line in """
-    +//Silmaril//dtd html Pro v0r11 19970101//
-    -//AdvaSoft Ltd//DTD HTML 3.0 asWedit + extensions//
-    -//AS//DTD HTML 3.0 asWedit + extensions//
-    -//IETF//DTD HTML 2.0 Level 1//
-    -//IETF//DTD HTML 2.0 Level 2//
-    -//IETF//DTD HTML 2.0 Strict Level 1//
-    -//IETF//DTD HTML 2.0 Strict Level 2//
-    -//IETF//DTD HTML 2.0 Strict//
-    -//IETF//DTD HTML 2.0//
-    -//IETF//DTD HTML 2.1E//
-    -//IETF//DTD HTML 3.0//
-    -//IETF//DTD HTML 3.2 Final//
-    -//IETF//DTD HTML 3.2//
-    -//IETF//DTD HTML 3//
-    -//IETF//DTD HTML Level 0//
-    -//IETF//DTD HTML Level 1//
-    -//IETF//DTD HTML Level 2//
-    -//IETF//DTD HTML Level 3//
-    -//IETF//DTD HTML Strict Level 0//
-    -//IETF//DTD HTML Strict Level 1//
-    -//IETF//DTD HTML Strict Level 2//
-    -//IETF//DTD HTML Strict Level 3//
-    -//IETF//DTD HTML Strict//
-    -//IETF//DTD HTML//
-    -//Metrius//DTD Metrius Presentational//
-    """.strip().splitlines()
-) + tuple(f"-//Microsoft//DTD Internet Explorer {v}.0 {k}//" for v in (2, 3) for k in ("HTML Strict", "HTML", "Tables")) + tuple(
-    f"-//{x}//" for x in (
-        "Netscape Comm. Corp.//DTD HTML", "Netscape Comm. Corp.//DTD Strict HTML", "O'Reilly and Associates//DTD HTML 2.0",
-        "O'Reilly and Associates//DTD HTML Extended 1.0", "O'Reilly and Associates//DTD HTML Extended Relaxed 1.0",
-        "SoftQuad Software//DTD HoTMetaL PRO 6.0::19990601::extensions to HTML 4.0", "SoftQuad//DTD HoTMetaL PRO 4.0::19971010::extensions to HTML 4.0",
-        "Spyglass//DTD HTML 2.0 Extended", "SQ//DTD HTML 2.0 HoTMetaL + extensions", "Sun Microsystems Corp.//DTD HotJava HTML",
-        "Sun Microsystems Corp.//DTD HotJava Strict HTML", *(f"W3C//DTD HTML {v}" for v in ("3 1995-03-24", "3.2 Draft", "3.2 Final", "3.2", "3.2S Draft", "4.0 Frameset", "4.0 Transitional", "Experimental 19960712", "Experimental 970421")),
-        "W3C//DTD W3 HTML", "W3O//DTD W3 HTML 3.0", "WebTechs//DTD Mozilla HTML 2.0", "WebTechs//DTD Mozilla HTML",
-    )
-)
+_HOT, _ONTO, _OREILLY = "DTD HoTMetaL PRO", "extensions to HTML 4.0", "O'Reilly and Associates//DTD HTML"
+_QUIRKY_OF = {
+    "IETF": [f"HTML {v}" for v in ("2.0", "2.1E", "3", "3.0", "3.2", "3.2 Final", "Strict", *(f"{k}Level {n}" for k in ("", "Strict ") for n in range(4)))]
+    + [f"HTML 2.0 {k}" for k in ("Level 1", "Level 2", "Strict", "Strict Level 1", "Strict Level 2")] + ["HTML"],
+    "Microsoft": [f"Internet Explorer {v}.0 {k}" for v in (2, 3) for k in ("HTML", "HTML Strict", "Tables")],
+    "Netscape Comm. Corp.": ["HTML", "Strict HTML"],
+    "Sun Microsystems Corp.": [f"HotJava {k}HTML" for k in ("", "Strict ")],
+    "W3C": ["W3 HTML", *(f"HTML {v}" for v in ("3 1995-03-24", "4.0 Frameset", "4.0 Transitional")), *(f"HTML 3.2{v}" for v in ("", "S Draft", " Draft", " Final")), *(f"HTML Experimental {v}" for v in (970421, 19960712))],
+    "W3O": ["W3 HTML 3.0"],
+    "WebTechs": [f"Mozilla HTML{v}" for v in ("", " 2.0")],
+    "Spyglass": ["HTML 2.0 Extended"],
+    "SQ": ["HTML 2.0 HoTMetaL + extensions"],
+    "Metrius": ["Metrius Presentational"],
+    **dict.fromkeys(("AS", "AdvaSoft Ltd"), ["HTML 3.0 asWedit + extensions"]),
+}
+_QUIRKY = (
+    "+//Silmaril//dtd html Pro v0r11 19970101//",
+    *(f"-//{owner}//DTD {kind}//" for owner, kinds in _QUIRKY_OF.items() for kind in kinds),
+    *(f"-//{_OREILLY} {kind}//" for kind in ("2.0", *(f"Extended {r}1.0" for r in ("", "Relaxed ")))),
+    f"-//SoftQuad Software//{_HOT} 6.0::19990601::{_ONTO}//",
+    f"-//SoftQuad//{_HOT} 4.0::19971010::{_ONTO}//",
+)
 _LOOSE_401 = ("-//W3C//DTD HTML 4.01 Frameset//", "-//W3C//DTD HTML 4.01 Transitional//")
 _LOOSE_XHTML = ("-//W3C//DTD XHTML 1.0 Frameset//", "-//W3C//DTD XHTML 1.0 Transitional//")
 _KNOWN_TYPES = {

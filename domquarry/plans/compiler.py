@@ -2,7 +2,7 @@
 
 A compound is a column predicate. What stands to the left becomes a window: an ancestor matches A if the running maximum of
 ``subtree_end`` over earlier A rows reaches the row (subtrees never overlap in part); siblings are running maxima or lags of a flag within
-the parent; a parent's flag comes by an equi-join on (doc_id, parent_el_id). Windows of all steps share one exchange by doc_id.
+the parent; a parent's flag comes by a window over matching rows and their children. Windows of all steps share one exchange by doc_id.
 """
 
 from __future__ import annotations
@@ -98,10 +98,16 @@ class _Plan:
             earlier = self._siblings(False).rowsBetween(Window.unboundedPreceding, -1)
             return self.add(F.coalesce(F.col("parent_el_id").isNotNull() & F.max(left).over(earlier), F.lit(False)))
         if kind == "child":
+            # matching rows stand a second time under their own number, so parents and children meet in a window: the
+            # exchange by doc_id serves it, and nodes (perhaps a parse) are not read twice as in a join
             name = f"_sel{self.names}"
             self.names += 1
-            parents = self.df.where(left).select("doc_id", F.col("node_id").alias("parent_el_id"), F.lit(True).alias(name))
-            self.df = self.df.join(parents, ["doc_id", "parent_el_id"], "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+            child = F.struct(F.col("parent_el_id").alias("k"), F.lit(False).alias("p"))
+            both = F.array(F.struct(F.col("node_id").alias("k"), F.lit(True).alias("p")), child)
+            rows = self.df.withColumn("_row", F.explode(F.when(left, both).otherwise(F.array(child))))
+            family = Window.partitionBy("doc_id", "_row.k")
+            flag = F.col("_row.k").isNotNull() & F.max(F.col("_row.p")).over(family)
+            self.df = rows.withColumn(name, flag).where(~F.col("_row.p")).drop("_row")
             return F.col(name)
         raise ValueError(kind)
 
@@ -110,9 +116,23 @@ class _Plan:
         return Window.partitionBy("doc_id", "parent_el_id").orderBy(F.desc("el_idx") if last else F.asc("el_idx"))
 
 
+def _steps(p: tuple) -> list[str]:
+    """The parts of a predicate that take windows."""
+    own = [p[0]] if p[0] in ("nth_type", "only_type", "descendant", "child", "next", "later") else []
+    for x in p[1:]:
+        for y in x if isinstance(x, list) else [x]:
+            own += _steps(y) if isinstance(y, tuple) else []
+    return own
+
+
 def compile_selector(nodes: DataFrame, selector: Selector | str, name: str) -> DataFrame:
     """The element rows of ``nodes`` with a boolean column ``name``."""
     columns = [c for c in nodes.columns if c != name]
-    plan = _Plan(nodes.where(F.col("node_type") == "element").select(*columns))
-    match = plan.column(Selector.of(selector).tree)
+    elements, tree = nodes.where(F.col("node_type") == "element").select(*columns), Selector.of(selector).tree
+    steps = _steps(tree)
+    if len(steps) > 1 and set(steps) != {"descendant"}:
+        # windows by finer keys would each ask for an exchange of their own; one by doc_id serves them all
+        elements = elements.repartition("doc_id")
+    plan = _Plan(elements)
+    match = plan.column(tree)
     return plan.df.select(*columns, F.coalesce(match, F.lit(False)).alias(name))
