@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text whose words are handled by one round of array operations; a longer text is a round of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _WRITTEN: list[str] = []
 _LOCAL_ROOT: list[str] = []
@@ -33,9 +34,30 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[0]
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Arrow batches of 4 MB unless the session has a limit of its own: very long texts must not add up in a Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, str(4 << 20))
+
+
+def tidy(fn):
+    """A function over Arrow batches that gives freed memory back when its task ends: idle Python workers stay small."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
+
+    return run
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, lost executors cost nothing."""
     spark = df.sparkSession
+    limit_batches(spark)
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _WRITTEN:
@@ -69,6 +91,7 @@ def _drop_written() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    limit_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -88,6 +111,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, per
     Rows for which the Column ``allowed`` isn't true, null labels and texts beyond max_chars are no candidates.
     Ids are drawn before any text is read.
     """
+    limit_batches(docs.sparkSession)
     ids = labels.select(F.col(id_col), F.col(label).cast("string").alias("_label")).where(F.col("_label").isNotNull() & F.col(id_col).isNotNull() & allowed)
     ids = ids.dropDuplicates([id_col])
     values = [r[0] for r in ids.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(64).collect()]

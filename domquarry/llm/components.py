@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, tidy
 
 #: Links that one round of the local union-find holds; more are taken in further rounds.
 LOCAL_LINKS = 1 << 20
@@ -59,7 +59,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     written to the shared folder. A hub's links are never gathered: rounds take minima (combined map-side) and join.
     """
     links = links.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.col("u").cast("long"), F.col("v").cast("long"))
-    edges = materialize(links.mapInArrow(_shrink, "u long, v long").distinct(), "links")
+    edges = materialize(links.mapInArrow(tidy(_shrink), "u long, v long").distinct(), "links")
     spark, before = edges.sparkSession, None
     for _ in range(max_rounds):
         # large star: a node's greater neighbours are linked to its least neighbour (or itself)

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_binary, extended, lut, materialize, slices, span_hash, word_spans
+from .common import LOWER, as_binary, extended, limit_batches, lut, materialize, slices, span_hash, tidy, word_spans
 from .fm_index import FMIndex
 
 WINDOW = 13
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 BLOCK_WORDS = 1 << 19
 
 
@@ -111,8 +111,8 @@ def search_shard(symbols: np.ndarray, first: np.ndarray, windows: Windows) -> tu
     return spans, [sorted(set(x)) for x in items]
 
 
-def _searcher(sent, text_at: int, extra: int):
-    """Over batches: the first ``extra`` columns, n_words, spans and items."""
+def _searcher(sent, text_at: int, extra: int, cut: bool = False):
+    """Over batches: the first ``extra`` columns, n_words, spans and items; if ``cut``, those columns of uncontaminated rows, without spans."""
 
     def run(batches):
         windows: Windows = sent.value
@@ -126,6 +126,13 @@ def _searcher(sent, text_at: int, extra: int):
             first = np.zeros(len(counts) + 1, np.int64)
             np.cumsum(counts, out=first[1:])
             spans, items = search_shard(symbols, first, windows)
+            if cut:
+                whole = pa.Table.from_batches(rest).combine_chunks()
+                hit = np.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans])
+                whole = _without_spans(whole, text_at, spans).filter(pa.array((hit == 0) | (20 * hit < counts)))
+                held.clear()
+                rest.clear()
+                return whole.to_batches()
             flat = np.concatenate(spans)
             offs = np.zeros(len(spans) + 1, np.int32)
             np.cumsum([len(s) for s in spans], out=offs[1:])
@@ -180,7 +187,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     if more is None:
         return _search(docs, block, own)
     # rows are numbered, as ids may repeat or lack; the numbers are written, so that all blocks see the same
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
+    numbered = docs.select(*own, *([] if "text" in own else ["text"]))
+    numbered = materialize(numbered.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
     union = None
     for one in itertools.chain([block, more], blocks):
         part = materialize(_search(numbered, one, ["_row"]), "decontaminate-part")
@@ -192,9 +200,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def _search(docs: DataFrame, windows: Windows, own: list[str]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(windows)  # a block: BLOCK_WORDS bounds its size
+    limit_batches(docs.sparkSession)
     passed = docs.select(*own, *([] if "text" in own else ["text"]))
     schema = extended(docs.select(*own), "n_words long, spans array<struct<start:long,end:long>>, items array<long>")
-    return passed.mapInArrow(_searcher(sent, passed.columns.index("text"), len(own)), schema)
+    return passed.mapInArrow(tidy(_searcher(sent, passed.columns.index("text"), len(own))), schema)
 
 
 def _merge_spans(column: str):
@@ -216,13 +225,13 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WI
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256")).withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
 
 
-def cut_spans(text: bytes, spans: list[dict]) -> bytes:
+def cut_spans(text: bytes, spans: np.ndarray) -> bytes:
     """text without the bytes from the first to the last word of each span, and without one of two blanks left touching."""
     data = np.frombuffer(text, np.uint8)
     start, end, _ = word_spans(LOWER[data], np.array([0, len(data)]), lut("alnum"))
     out, at = [], 0
-    for s in spans:
-        a, b = int(start[s["start"]]), int(end[s["end"] - 1])
+    for first, stop in spans.tolist():
+        a, b = int(start[first]), int(end[stop - 1])
         while b < len(text) and text[b] not in b" \n" and text[b] < 0x80:  # the punctuation that ends the span
             b += 1
         out.append(text[at:a])
@@ -230,23 +239,34 @@ def cut_spans(text: bytes, spans: list[dict]) -> bytes:
     return b"".join(out) + text[at:]
 
 
+def _without_spans(table: pa.Table, text_at: int, spans: list) -> pa.Table:
+    """The table with spans cut out of its texts; null texts stay null."""
+    if not any(len(s) for s in spans):
+        return table
+    column = table.column(text_at)
+    texts = [cut_spans(t.as_py(), s) if len(s) else t.as_py() for t, s in zip(as_binary(column), spans, strict=True)]
+    clean = pa.array(texts, pa.binary(), mask=np.asarray(column.combine_chunks().is_null())).cast(column.type)
+    return table.set_column(text_at, table.column_names[text_at], clean)
+
+
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without contaminated documents; those with a smaller share of hit words lose the hit spans and stay."""
     own = docs.columns
-    found = find_contamination(docs, benchmark, window)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    kept = found.where(~((n_hit > 0) & (20 * n_hit >= F.col("n_words")))).select(*own, "spans")
-
-    def run(batches):
-        for batch in batches:
-            at = own.index("text")
-            spans = batch.column(len(own)).to_pylist()
-            column = batch.column(at)
-            if any(spans):
-                texts = [cut_spans(t.as_py(), s) if s else t.as_py() for t, s in zip(as_binary(column), spans, strict=True)]
-                column = pa.array(texts, pa.binary(), mask=np.asarray(column.is_null())).cast(pa.string())
-            columns = [column if i == at else batch.column(i) for i in range(len(own))]
-            yield pa.RecordBatch.from_arrays(columns, own)
-
-    out = kept.mapInArrow(run, docs.schema)
+    blocks = _blocks(benchmark, window)
+    block, more = next(blocks, Windows([], window)), next(blocks, None)
+    if more is None:
+        limit_batches(docs.sparkSession)
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        out = docs.mapInArrow(tidy(_searcher(sent, own.index("text"), len(own), True)), docs.schema)
+    else:
+        found = find_contamination(docs.select(F.struct(*own).alias("_own"), "text"), benchmark, window)
+        n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+        kept = found.where(~((n_hit > 0) & (20 * n_hit >= F.col("n_words")))).select("_own.*", F.col("spans").alias("_spans"))
+
+        def run(batches):
+            for batch in batches:
+                spans = [np.array([[s["start"], s["end"]] for s in x], np.int64).reshape(-1, 2) for x in batch.column(len(own)).to_pylist()]
+                yield from _without_spans(pa.Table.from_batches([batch.select(list(range(len(own))))]), own.index("text"), spans).combine_chunks().to_batches()
+
+        out = kept.mapInArrow(tidy(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in own else out

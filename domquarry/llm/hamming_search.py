@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import limit_batches, tidy
+
 SHARD_CODES, BLOCK, SEGMENT = 1 << 20, 64, 16
 
 
@@ -142,6 +144,7 @@ def _answers(k: int, words: int):
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), neighbor_id, distance: the k rows nearest to each row of ``queries``, itself included if it is a row."""
     spark = rows.sparkSession
+    limit_batches(spark)
     n, width = rows.where(F.col(vector).isNotNull()).agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(1))).first()
     n_queries = queries.count()
     words = max(1, -(-width // 64))
@@ -155,13 +158,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "code"])
 
     def codes_of(df: DataFrame) -> DataFrame:
-        return df.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), vector).mapInArrow(coded, "id long, code binary")
+        return df.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), vector).mapInArrow(tidy(coded), "id long, code binary")
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     data = codes_of(rows).withColumn("s", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("g", every(groups)).withColumn("asks", F.lit(0))
     asks = codes_of(queries).withColumn("g", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(groups)).cast("int")).withColumn("s", every(shards)).withColumn("asks", F.lit(1))
     both = data.select("s", "g", "asks", "id", "code").unionByName(asks.select("s", "g", "asks", "id", "code"))
     both = both.select((F.col("s") * groups + F.col("g")).alias("cell"), "asks", "id", "code")
-    found = both.repartition(shards * groups * 2, "cell").sortWithinPartitions("cell", "asks").mapInArrow(_answers(k, words), "query_id long, neighbor_id long, distance long")
+    found = both.repartition(shards * groups * 2, "cell").sortWithinPartitions("cell", "asks").mapInArrow(tidy(_answers(k, words)), "query_id long, neighbor_id long, distance long")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "neighbor_id", "distance")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, crc_mod, extended, labelled_sample
+from .common import as_binary, crc_mod, extended, labelled_sample, tidy
 from .ngrams import LETTERS, sums, word_slices
 
 BITS, SIZES, BUCKETS = 15, (1, 2, 3, 4), 1 << 13
@@ -143,7 +143,7 @@ def predict(docs: DataFrame, model: CodeModel, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score), pa.array(lead < MARGIN)], [*keep, "lang_pred", "score", "ambiguous"])
 
     passed = docs.select(F.col("text").alias("_text"), *keep)
-    return passed.mapInArrow(run, extended(docs.select(*keep), "lang_pred string, score double, ambiguous boolean"))
+    return passed.mapInArrow(tidy(run), extended(docs.select(*keep), "lang_pred string, score double, ambiguous boolean"))
 
 
 def languages(docs: DataFrame) -> DataFrame:

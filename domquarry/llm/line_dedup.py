@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_binary, extended, materialize
+from .common import LOWER, as_binary, extended, materialize, tidy
 
 BLANKS = b" \t\n\x0b\x0c\r"
 _LOWER = LOWER.tobytes()
@@ -119,7 +119,7 @@ def _postings(docs: DataFrame, min_chars: int) -> DataFrame:
             k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(owners, pa.int64()), pa.array(lines, pa.int64())], ["hi", "lo", "doc_id", "n_lines"])
 
-    rows = docs.select(F.col("text"), F.col("doc_id").cast("long")).mapInArrow(run, "hi long, lo long, doc_id long, n_lines long")
+    rows = docs.select(F.col("text"), F.col("doc_id").cast("long")).mapInArrow(tidy(run), "hi long, lo long, doc_id long, n_lines long")
     # by key and document first: a key that most documents share is spread over all tasks
     return rows.groupBy(*KEY, "doc_id").agg(F.sum("n_lines").alias("n_lines"))
 
@@ -210,9 +210,9 @@ class LineIndex:
         docs = docs.select(*own)
         schema = extended(docs, "kept_text string, n_lines long, n_dropped long")
         if self.n_hot <= self.BROADCAST_KEYS:
-            return docs.mapInArrow(_applier(self, own), schema)
+            return docs.mapInArrow(tidy(_applier(self, own)), schema)
         drops = self._drops(docs)
-        return docs.join(drops, docs["doc_id"].eqNullSafe(drops["_doc"]), "left").select(*own, "_keys").mapInArrow(_listed_applier(own, self.min_chars), schema)
+        return docs.join(drops, docs["doc_id"].eqNullSafe(drops["_doc"]), "left").select(*own, "_keys").mapInArrow(tidy(_listed_applier(own, self.min_chars)), schema)
 
     def _drops(self, docs: DataFrame) -> DataFrame:
         """_doc, _keys: the keys whose lines each document loses."""
@@ -228,7 +228,7 @@ class LineIndex:
                 k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(owners, pa.int64())], ["hi", "lo", "_doc"])
 
-        rows = docs.select("text", F.col("doc_id").cast("long")).mapInArrow(run, "hi long, lo long, _doc long")
+        rows = docs.select("text", F.col("doc_id").cast("long")).mapInArrow(tidy(run), "hi long, lo long, _doc long")
         lost = rows.join(self.hot, KEY).where(~F.col("_doc").eqNullSafe(F.col("keeper"))).select("_doc", F.struct(*KEY).alias("k"))
         return lost.groupBy("_doc").agg(F.collect_set("k").alias("_keys"))
 

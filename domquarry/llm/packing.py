@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialize
+from .common import materialize, tidy
 
-WINDOW, SHARD_DOCS, SHARD_TOKENS, QUERY_TERMS = 1024, 2048, 1 << 22, 16
+WINDOW, SHARD_DOCS, SHARD_TOKENS, QUERY_TERMS = 1024, 1024, 1 << 21, 16
 K1, B = 1.2, 0.75
 END = 0
 
@@ -179,13 +179,13 @@ def _packer(sent, wide: bool, window: int, with_ids: bool):
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds the ids themselves."""
     path = tokenizer or tokens.default_path()
-    encoded = materialize(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(_tokenize(path), "doc_id long, n long, ids binary, df binary"), "packing-ids")
+    encoded = materialize(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(tidy(_tokenize(path)), "doc_id long, n long, ids binary, df binary"), "packing-ids")
     # one row a term: the vocabulary bounds what comes to the driver
-    terms = encoded.where("df IS NOT NULL").select("df").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    terms = encoded.where("df IS NOT NULL").select("df").mapInArrow(tidy(_frequencies), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     n_docs, total = encoded.where("n IS NOT NULL").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = np.zeros(max([1 << 16, *(r["term"] + 1 for r in terms)]), np.float64)
     df[[r["term"] for r in terms]] = [r["df"] for r in terms]
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
     sent = docs.sparkSession.sparkContext.broadcast((idf, total / max(1, n_docs)))
     wide = tokens.PieceEncoder._ranks(path) is None
-    return encoded.where("n IS NOT NULL").select("doc_id", "ids").mapInArrow(_packer(sent, wide, window, with_ids), _PIECES + ", ids array<int>" * with_ids)
+    return encoded.where("n IS NOT NULL").select("doc_id", "ids").mapInArrow(tidy(_packer(sent, wide, window, with_ids)), _PIECES + ", ids array<int>" * with_ids)

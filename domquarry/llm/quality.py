@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_mod, extended, labelled_sample, lut, slices, span_hash, word_spans
+from .common import LOWER, crc_mod, extended, labelled_sample, lut, slices, span_hash, tidy, word_spans
 
 BINS, COARSE, PAIRS = 32, 8, 10
 ROUNDS, PAIR_ROUNDS, RATE = 120, 60, 0.15
@@ -154,7 +154,7 @@ class AdditiveModel:
         self.bias, self.edges, self.tables, self.pairs = bias, edges, tables, pairs
 
     def bins(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)], 1) if len(x) else np.zeros((0, len(self.edges)), np.int64)
+        return np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)], 1) if self.edges else np.zeros((len(x), 0), np.int64)
 
     def coarse(self, bins: np.ndarray, j: int) -> np.ndarray:
         return bins[:, j] * COARSE // (len(self.edges[j]) + 1)
@@ -216,7 +216,7 @@ def _feature_rows(batches):
 def fit(docs: DataFrame, labels: DataFrame, allowed) -> AdditiveModel:
     """Learns from the labelled rows for which the Column ``allowed`` (over labels' columns) is true."""
     sample = labelled_sample(docs, labels, "quality", allowed, PER_CLASS, MAX_CHARS)
-    rows = sample.select("text", F.col("doc_id").cast("long"), "_label").mapInArrow(_feature_rows, "doc_id long, _label string, x array<double>").collect()
+    rows = sample.select("text", F.col("doc_id").cast("long"), "_label").mapInArrow(tidy(_feature_rows), "doc_id long, _label string, x array<double>").collect()
     rows.sort(key=lambda r: r["doc_id"])
     return train(np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([int(r["_label"]) for r in rows], np.float64))
 
@@ -232,7 +232,7 @@ def score(docs: DataFrame, model: AdditiveModel, keep: list[str], name: str = "s
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), pa.array(s)], [*keep, name])
 
     passed = docs.select(F.col("text").alias("_text"), *keep)
-    return passed.mapInArrow(run, extended(docs.select(*keep), f"{name} double"))
+    return passed.mapInArrow(tidy(run), extended(docs.select(*keep), f"{name} double"))
 
 
 def held_out():

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_binary, extended, lut, materialize, mix, powers, slices, span_hash, word_spans
+from .common import LOWER, as_binary, extended, lut, materialize, mix, powers, slices, span_hash, tidy, word_spans
 
 RUN, MIN_WORDS = 2, 20
 _STEP = np.random.default_rng(20240301).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,7 +121,7 @@ def _remover(own: list[str], run: int, min_words: int):
 
 def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, at: first sentences of all runs that aren't the first of their kind."""
-    spans = materialize(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(_runs_of(run), "x long, y int, doc_id long, at int"), "sentence-runs")
+    spans = materialize(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(tidy(_runs_of(run)), "x long, y int, doc_id long, at int"), "sentence-runs")
     # nulls last; minima are combined map-side, so a run that most documents share is no burden
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
     firsts = spans.groupBy("x", "y").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").select("x", "y", "f")
@@ -136,4 +136,4 @@ def dedup_substrings(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS
     gone = repeated_runs(docs, run).groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_set("at")).alias("_at"))
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]), "left").select(*own, "_at")
     schema = extended(docs, "kept_text string, n_sentences long, n_removed long, spans array<struct<start:long,end:long>>")
-    return joined.mapInArrow(_remover(own, run, min_words), schema)
+    return joined.mapInArrow(tidy(_remover(own, run, min_words)), schema)

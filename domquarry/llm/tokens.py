@@ -13,7 +13,7 @@ import pyarrow as pa
 from .common import slices, span_hash
 
 #: Slots of a worker's table (12 bytes each), half of which may hold pieces; later new pieces are encoded in each slice.
-TABLE_SLOTS = 1 << 22
+TABLE_SLOTS = 1 << 21
 
 #: A blank cuts unless one of these bytes follows: ASCII white space, or the first byte of white space beyond ASCII.
 _NO_CUT = np.zeros(256, bool)
@@ -29,11 +29,7 @@ def default_path() -> str:
 
 class PieceEncoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.fast = self._ranks(path)
+        self.path, self._whole, self.fast = path, None, self._ranks(path)
         if self.fast is not None:
             self.width = np.zeros(1 << 16, np.int64)
             for i in self.fast._mergeable_ranks.values():
@@ -41,6 +37,16 @@ class PieceEncoder:
         self.keys, self.values = np.zeros(TABLE_SLOTS, np.uint64), np.zeros(TABLE_SLOTS, np.int32)
         self.n, self.ptr, self.ids = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint16)
 
+    @property
+    def whole(self):
+        """The library that reads any such file; slower, and only loaded if needed."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+            self._whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        return self._whole
+
     @staticmethod
     def _ranks(path: str):
         """The same vocabulary for the faster library; None if the file isn't of that kind."""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, extended, labelled_sample
+from .common import crc_mod, extended, labelled_sample, tidy
 from .ngrams import MARKED, means, sums, word_slices
 
 WINDOW, SIZES, BUCKETS, DIM = 8, (3, 4, 5), 1 << 17, 4
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: SubwordModel, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), pa.array(model.scores(batch.column(0)))], [*keep, "score"])
 
     passed = docs.select(F.col("text").alias("_text"), *keep)
-    return passed.mapInArrow(run, extended(docs.select(*keep), "score double"))
+    return passed.mapInArrow(tidy(run), extended(docs.select(*keep), "score double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
