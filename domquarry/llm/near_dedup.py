@@ -4,17 +4,18 @@ Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A document's set: its d
 the whole sequence as one; without words it is empty and linked with nothing. Documents are linked if
 100 * intersection >= 85 * union, always confirmed on full sets; components are the classes.
 
-1. One pass makes of each text a hash of its set, 64 minwise tokens and their 64 lowest bits.
+1. One pass makes of each text a hash of its set, 64 minwise tokens and a bit of each of 256.
 2. Documents of equal sets are one class (a hash aggregate, combined map-side); only classes go on.
 3. TREES independent trees branch the classes by one token each at the root.
 4. Star pass: each node's least class is compared with its other members: a group of thousands of near copies gives one pair
    a member, not all pairs. Confirmed links are contracted to components.
 5. Exhaustive pass: only nodes that still hold several components count. Nodes of at most LEAF classes are compared whole;
    larger ones branch again by two tokens a node, down to DEPTH; what is still large there is compared in blocks.
-   A pair of one component is never compared again, and pairs whose 64 bits differ in over BITS places are dropped.
+   A pair of one component is never compared again. Pairs are dropped whose 64 bits differ in over BITS places, or whose sketches of
+   256 bits in over SKETCH_BITS; the rest are confirmed on full sets.
 
 A pair of similarity 0.85 shares a root token in a tree with probability 0.85 and survives each further level with 0.9775;
-its bits differ in over 18 places with probability under 1e-6. With 10 trees a link is missed with probability 6e-9 where root
+a bit differs with probability 0.075, so over 18 of 64 or over 42 of 256 do with probability under 1e-6. With 10 trees a link is missed with probability 6e-9 where root
 nodes are small and under 1e-6 three levels down.
 
 Cases: a row without doc_id is linked with nothing, its component_id is null and it is kept; rows that repeat a doc_id are each
@@ -28,16 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, lut, materialize, mix, slices, span_hash, word_spans
+from .common import LOWER, lut, materialize, mix, slices, span_hash, tidy, word_spans
 from .components import components
 
-SHINGLE, TOKENS, TREES, LEAF, DEPTH, BITS = 5, 64, 10, 32, 6, 18
+SHINGLE, TOKENS, SKETCH, TREES, LEAF, DEPTH, BITS, SKETCH_BITS = 5, 64, 256, 10, 32, 4, 18, 42
 #: Ids of compared classes are broadcast up to this number (8 bytes each); beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 1 << 20
 
 _rng = np.random.default_rng(20240229)
-_SEED = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
-_ODD = _rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEED = _rng.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
+_ODD = _rng.integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _STEP = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -66,29 +67,46 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().astype(np.int64)), int(mix(s ^ np.uint64(0x3C3C3C3C3C3C3C3C)).sum().astype(np.int64))
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """SKETCH minwise hashes of a set."""
+    x = (s >> np.uint64(32)).astype(np.uint32)
+    least = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(x), 1024):
+        np.minimum(least, ((x[i : i + 1024] ^ _SEED[:, None]) * _ODD[:, None]).min(1), out=least)
+    return least
+
+
 def _sketcher(batches):
     for batch in batches:
-        n, hi, lo, bits, tokens = [], [], [], [], []
+        n, hi, lo, bits, fine, tokens = [], [], [], [], [], []
         for s in shingle_sets(batch.column(1)):
+            least = sketch(s)
+            key = set_key(s) if len(s) else (0, 0)
+            low = np.packbits((mix(least.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
             n.append(len(s))
-            if len(s):
-                least = np.full(TOKENS, 0xFFFFFFFF, np.uint64)
-                for i in range(0, len(s), 4096):
-                    part = ((s[i : i + 4096] ^ _SEED[:, None]) * _ODD[:, None]) >> np.uint64(32)
-                    np.minimum(least, part.min(1), out=least)
-                key = set_key(s)
-                hi.append(key[0])
-                lo.append(key[1])
-                tokens.append(least.astype(np.uint32))
-                bits.append(int(np.packbits((mix(least) & np.uint64(1)).astype(np.uint8)).view(np.int64)[0]))
-            else:
-                hi.append(0)
-                lo.append(0)
-                bits.append(0)
-                tokens.append(np.zeros(TOKENS, np.uint32))
+            hi.append(key[0])
+            lo.append(key[1])
+            bits.append(int(low[0]))
+            fine.append(low)
+            tokens.append(least[:TOKENS])
         flat = np.concatenate(tokens).view(np.int32) if tokens else np.zeros(0, np.int32)
+        words = np.concatenate(fine) if fine else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TOKENS, dtype=np.int32)), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bits, pa.int64()), lists], ["doc_id", "n_shingles", "c", "lo", "bits", "tokens"])
+        fines = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, SKETCH // 64, dtype=np.int32)), pa.array(words))
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bits, pa.int64()), fines, lists]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "c", "lo", "bits", "fine", "tokens"])
+
+
+def pack_set(s: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes."""
+    return np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def unpack_set(raw) -> np.ndarray:
+    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, 2:] = six
+    return out.view(np.uint64).ravel()
 
 
 def _set_rows(batches):
@@ -97,7 +115,7 @@ def _set_rows(batches):
         for s in shingle_sets(batch.column(0)):
             c.append(set_key(s)[0])
             n.append(len(s))
-            sets.append(s.tobytes())
+            sets.append(pack_set(s))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.binary())], ["c", "n", "members"])
 
 
@@ -106,8 +124,7 @@ def _confirm(percent: int):
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
+                both = np.concatenate([unpack_set(a.as_buffer()), unpack_set(b.as_buffer())])
                 both.sort(kind="stable")
                 inter = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * inter >= percent * (len(both) - inter))
@@ -120,9 +137,9 @@ class _Join:
     def __init__(self, docs: DataFrame, percent: int):
         self.percent = percent
         self.docs = docs.select(F.col("doc_id").cast("long"), "text")
-        self.rows = materialize(self.docs.mapInArrow(_sketcher, "doc_id long, n_shingles long, c long, lo long, bits long, tokens array<int>"), "near-sketches")
+        self.rows = materialize(self.docs.mapInArrow(tidy(_sketcher), "doc_id long, n_shingles long, c long, lo long, bits long, fine array<long>, tokens array<int>"), "near-sketches")
         real = self.rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        classes = real.groupBy("c", "lo", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens"))
+        classes = real.groupBy("c", "lo", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("fine").alias("fine"), F.first("tokens").alias("tokens"))
         self.classes = materialize(classes.withColumnRenamed("n_shingles", "n"), "near-classes")
 
     def roots(self) -> DataFrame:
@@ -135,22 +152,28 @@ class _Join:
         return F.expr(f"100 * least({n1}, {n2}) >= {self.percent} * greatest({n1}, {n2}) AND bit_count({b1} ^ {b2}) <= {BITS}")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """pairs: distinct a, b of classes. Those whose full sets are similar enough, as u, v."""
+        """pairs: distinct a, b of classes. Those whose full sets are similar enough, as u, v. All bits of the sketches are compared first."""
+        fine = self.classes.select("c", "fine")
+        apart = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(SKETCH // 64))
+        pairs = pairs.join(fine.withColumnsRenamed({"c": "a", "fine": "x"}), "a").join(fine.withColumnsRenamed({"c": "b", "fine": "y"}), "b")
+        pairs = materialize(pairs.where(f"{apart} <= {SKETCH_BITS}").select("a", "b"), "near-alike")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(self.classes.select("c", "doc_id"), "c").select("doc_id").distinct()
         ids = materialize(ids, "near-ids")
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
-        sets = self.docs.join(ids, "doc_id").select("text").mapInArrow(_set_rows, "c long, n long, members binary")
+        sets = self.docs.join(ids, "doc_id").select("text").mapInArrow(tidy(_set_rows), "c long, n long, members binary")
         sets = materialize(sets, "near-sets").dropDuplicates(["c"])  # rows may repeat ids
         own = pairs.join(sets.select(F.col("c").alias("b"), F.col("members").alias("y")), "b")
         own = own.join(sets.select(F.col("c").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
-        return own.mapInArrow(_confirm(self.percent), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return own.mapInArrow(tidy(_confirm(self.percent)), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     def star_links(self) -> DataFrame:
         rows = self.roots()
         pivot = rows.groupBy("node").agg(F.min(F.struct("c", "n", "bits")).alias("p"), F.count("*").alias("size")).where("size > 1")
-        pairs = rows.join(pivot, "node").where("c <> p.c").where(self.near("n", "p.n", "bits", "p.bits"))
-        return self.confirm(materialize(pairs.select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct(), "near-star"))
+        near = rows.join(pivot, "node").where("c <> p.c").where(self.near("n", "p.n", "bits", "p.bits"))
+        # of a class's pivots in all trees the likeliest
+        best = near.groupBy("c").agg(F.min(F.struct(F.expr("bit_count(bits ^ p.bits)").alias("apart"), F.col("p.c").alias("a"))).alias("b"))
+        return self.confirm(best.select(F.col("b.a").alias("a"), F.col("c").alias("b")))
 
     def rest_links(self, links: DataFrame) -> DataFrame:
         """Links between components of ``links``."""
