@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.attributes import attrs_with, attrs_without
 from .parse import _ATTRS, _DDL, _TYPES, with_lookups
 from .serializer import FIELDS, flatten
 from .treebuilder import Node
@@ -43,15 +44,11 @@ def make(spec: dict) -> Node:
 
 def set_attr(nodes: DataFrame, name: str, value: Column | str, where: Column | None = None) -> DataFrame:
     """A value set again keeps its place; a new one comes last."""
-    value = F.lit(value) if isinstance(value, str) else value
-    has = F.exists("attrs", lambda a: a["name"] == name)
-    again = F.transform("attrs", lambda a: F.struct(a["name"].alias("name"), F.when(a["name"] == name, value).otherwise(a["value"]).alias("value")))
-    new = F.concat("attrs", F.array(F.struct(F.lit(name).alias("name"), value.alias("value"))))
-    return _attrs(nodes, F.when(has, again).otherwise(new), where)
+    return _attrs(nodes, attrs_with(name, value), where)
 
 
 def remove_attr(nodes: DataFrame, name: str, where: Column | None = None) -> DataFrame:
-    return _attrs(nodes, F.filter("attrs", lambda a: a["name"] != name), where)
+    return _attrs(nodes, attrs_without(name), where)
 
 
 def toggle_class(nodes: DataFrame, name: str, where: Column | None = None) -> DataFrame:
@@ -74,7 +71,7 @@ EDIT = "doc_id long, seq int, op string, node_id int, at int, other int, spec st
 
 
 def edits(of: DataFrame, op: str, at: int | None = None, other: Column | None = None, spec: dict | None = None, seq: int = 0) -> DataFrame:
-    """The same edit for each row of ``of``. Ops: append, insert, replace, remove, remove_children, set_text, insert_text, wrap, move, set_root, set_doctype."""
+    """The same edit for each row of ``of``. Ops: append, insert, replace, remove, remove_at, remove_children, set_text, insert_text, wrap, move, set_root, set_doctype."""
     kind = "struct<kind:string,tag:string,attrs:map<string,string>,data:string,public_id:string,system_id:string>"
     made = F.lit(None).cast(kind)
     if spec is not None:
@@ -122,6 +119,10 @@ def apply_edit(by: dict[int, Node], e: dict) -> None:
             parent.insert(where, new)
     elif op == "remove":
         _detach(node)
+    elif op == "remove_at":
+        if not 0 <= at < len(node.children):
+            raise IndexError(f"no child index {at}")
+        _detach(node.children[at])
     elif op in ("remove_children", "set_text"):
         for c in list(node.children):
             _detach(c)
@@ -202,6 +203,10 @@ def insert_at(nodes: DataFrame, of: DataFrame, at: int, spec: dict) -> DataFrame
     return apply_edits(nodes, edits(of, "insert", at=at, spec=spec))
 
 
+def remove_at(nodes: DataFrame, of: DataFrame, at: int) -> DataFrame:
+    return apply_edits(nodes, edits(of, "remove_at", at=at))
+
+
 def replace_nodes(nodes: DataFrame, of: DataFrame, spec: dict) -> DataFrame:
     return apply_edits(nodes, edits(of, "replace", spec=spec))
 

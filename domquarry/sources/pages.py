@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities
 from ..operators.parse import Parsed, parse_html, parse_html_bytes, parse_string, select_html
-from ..operators.serializer import flatten
+from ..operators.serializer import FIELDS, flatten
 
 
 def read_pages(spark: SparkSession, path: str, id_col: str = "page_id", html: str = "html") -> DataFrame:
@@ -34,7 +34,7 @@ def register_views(parsed: Parsed, prefix: str = "") -> Parsed:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """SQL functions html_escape, html_unescape, html_text and the table function html_select(html, selector)."""
+    """SQL functions html_escape, html_unescape, html_text and the table functions html_nodes(html), html_select(html, selector)."""
     from pyspark.sql.functions import pandas_udf, udtf
 
     @pandas_udf("string")
@@ -55,7 +55,18 @@ def register_functions(spark: SparkSession) -> None:
                     _, text, outer = flatten(_detached(node))
                     yield i, node.tag, text, outer
 
+    @udtf(returnType="node_id int, parent_id int, depth int, node_type string, tag string, data string, text string")
+    class HtmlNodes:
+        def eval(self, html: str):
+            if html is None:
+                return
+            rows, text, _ = flatten(parse_string(html)[0].document)
+            for r in rows:
+                row = dict(zip(FIELDS, r, strict=True))
+                yield row["node_id"], row["parent_id"], row["depth"], row["node_type"], row["tag"], row["data"], text[row["text_start"] : row["text_end"]]
+
     entities.register(spark)
+    spark.udtf.register("html_nodes", HtmlNodes)
     spark.udf.register("html_text", html_text)
     spark.udtf.register("html_select", HtmlSelect)
 

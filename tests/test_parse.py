@@ -1,6 +1,9 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from domquarry.functions import attributes
 from domquarry.operators import mutate
 from domquarry.operators.parse import attr, has_class, parse_fragment, parse_html, parse_html_bytes, select_html, tokenize_html
 from domquarry.operators.select import child_at, child_elements, children, describe_tree, descendants, inner_html, outer_html, parent, select_all, text_components, text_content
@@ -111,6 +114,7 @@ def test_changes(parsed):
     assert markup(mutate.set_text(n, div, "")).startswith(f"{start}</div>")
     assert markup(mutate.insert_text(n, div, 1, "+")).startswith(f"{start}one+<b>")
     assert markup(mutate.insert_text(n, div, 2, "+")).startswith(f"{start}one<b>two</b>+three")
+    assert markup(mutate.remove_at(n, div, 1)).startswith(f"{start}onethree")
     ul_id = ul.first()["node_id"]
     assert markup(mutate.move_to(n, b, F.lit(ul_id))).endswith("<ul><li>1</li><li>2</li><b>two</b></ul>")
     assert markup(mutate.move_to(n, ul, F.lit(ul_id))) == markup(n)  # not into itself
@@ -134,6 +138,7 @@ def test_views_and_functions(spark, parsed, tmp_path):
     assert spark.sql("SELECT count(*) FROM nodes n JOIN docs d USING (doc_id) WHERE n.tag_lc = 'li'").first()[0] == 2
     assert spark.sql("SELECT html_text('<p>a<b>c')").first()[0] == "ac"
     assert [r[0] for r in spark.sql("SELECT text FROM html_select('<ul><li>a<li>b', 'li')").collect()] == ["a", "b"]
+    assert spark.sql("SELECT text FROM html_nodes('<p>a<b>c') WHERE tag = 'p'").first()[0] == "ac"
     write_nodes(parsed, str(tmp_path / "nodes"))
     stored = spark.read.parquet(str(tmp_path / "nodes"))
     assert select_all(stored, "ul > li").count() == 2
@@ -141,6 +146,17 @@ def test_views_and_functions(spark, parsed, tmp_path):
     assert "EqualTo(tag_lc,li)" in found
 
 
+def test_ordered_attributes(spark):
+    n = parse_html(spark.createDataFrame([(1, "<p a=1 b=2 c=3><i>")], "doc_id long, html string")).nodes
+    got = n.where("tag in ('p', 'i')").orderBy("node_id").select(
+        attributes.attr_index("b"), attributes.attr_index("z"), attributes.attr_at(2)["value"], attributes.first_attr(), attributes.last_attr(), attributes.attr_names(),
+        F.to_json(attributes.attrs_with("z", "9", 1)), F.to_json(attributes.attrs_with("b", "9")),
+    ).collect()
+    assert tuple(got[0])[:6] == (1, None, "3", "a", "c", ["a", "b", "c"])
+    assert [x["name"] for x in json.loads(got[0][6])] == ["a", "z", "b", "c"] and [x["value"] for x in json.loads(got[0][7])] == ["1", "9", "3"]
+    assert tuple(got[1])[:6] == (None, None, None, None, None, []) and json.loads(got[1][6]) == [{"name": "z", "value": "9"}]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.html").write_bytes("<meta charset=utf-8><p>é".encode())
     assert read_html_files(spark, str(tmp_path)).docs.first()["text"] == "é"
