@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .selector import Selector
 
-_ORDER = {"nth": 1, "nth_type": 3, "only_type": 3, "descendant": 3, "child": 4, "next": 3, "later": 3, "not": 2, "or": 2, "and": 2}
+_ORDER = {"nth": 1, "nth_type": 3, "only_type": 3, "own_type": 3, "nth_strict": 1, "descendant": 3, "child": 4, "next": 3, "later": 3, "not": 2, "or": 2, "and": 2}
 
 
 def nth_matches(position, a: int, b: int):
@@ -20,6 +20,11 @@ def nth_matches(position, a: int, b: int):
     return (position - b) % a == 0 if a > 0 else position == b
 
 
+def nth_matches_strictly(position, a: int, b: int):
+    """As CSS has it: some n of 0 or more gives a * n + b. For ints and Columns."""
+    return (position == b) if a == 0 else ((position - b) % a == 0) & ((position - b) * a >= 0)
+
+
 def _attr(op: str, name: str, value: str | None) -> Column:
     if name == "class" and op == "~":
         return F.coalesce(F.array_contains("classes", value), F.lit(False))
@@ -71,6 +76,13 @@ class _Plan:
         if kind == "nth":
             position = F.col("el_count") - F.col("el_idx") + 1 if p[3] else F.col("el_idx")
             return nth_matches(F.when(F.col("parent_el_id").isNull() & F.lit(p[3]), F.lit(0)).otherwise(position), p[1], p[2])
+        if kind == "nth_strict":
+            position = F.greatest("el_count", F.lit(1)) - F.col("el_idx") + 1 if p[3] else F.col("el_idx")
+            return nth_matches_strictly(position, p[1], p[2])
+        if kind == "own_type":
+            alike = Window.partitionBy("doc_id", "parent_el_id", "tag").orderBy(F.desc("node_id") if p[3] else F.asc("node_id"))
+            count = self.add(F.row_number().over(alike))
+            return nth_matches_strictly(F.when(F.col("parent_el_id").isNull(), 1).otherwise(count), p[1], p[2])
         if kind in ("and", "or"):
             # cheap tests first; windows and joins last
             parts = [self.column(x) for x in sorted(p[1], key=lambda x: _ORDER.get(x[0], 0))]
@@ -118,7 +130,7 @@ class _Plan:
 
 def _steps(p: tuple) -> list[str]:
     """The parts of a predicate that take windows."""
-    own = [p[0]] if p[0] in ("nth_type", "only_type", "descendant", "child", "next", "later") else []
+    own = [p[0]] if p[0] in ("nth_type", "only_type", "own_type", "descendant", "child", "next", "later") else []
     for x in p[1:]:
         for y in x if isinstance(x, list) else [x]:
             own += _steps(y) if isinstance(y, tuple) else []

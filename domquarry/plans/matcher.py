@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .compiler import nth_matches
+from .compiler import nth_matches, nth_matches_strictly
 from .selector import Selector
 
 _BLANK = re.compile(r"[ \t\n\r\f]")
@@ -70,6 +70,12 @@ class Matcher:
             return len(own) == 1
         if kind == "nth":
             return nth_matches((len(own) - at if own else 0) if p[3] else at + 1, p[1], p[2])
+        if kind == "nth_strict":
+            return nth_matches_strictly(max(len(own), 1) - at if p[3] else at + 1, p[1], p[2])
+        if kind == "own_type":
+            alike = [x for x in own if x.tag == node.tag] or [node]
+            place = next(i for i, x in enumerate(alike) if x is node)
+            return nth_matches_strictly(len(alike) - place if p[3] else place + 1, p[1], p[2])
         if not own:
             return False
         if kind == "next":

@@ -6,6 +6,9 @@ Predicates: ("any",) ("tag", name) ("attr", op, name, value) ("nth", a, b, last)
 
 The grammar is the small one of this engine, with its own ways: a blank before a comma is a descendant combinator, a trailing combinator
 means ``*``, parentheses don't nest, ``-of-type`` counts siblings that match everything before it, ``[a='']`` matches nothing.
+
+With ``strict`` it follows the CSS standard in these points: parentheses nest, blanks around commas mean nothing, combinators need both
+sides, ``an+b`` has its bounds (("nth_strict", a, b, last)), ``-of-type`` counts siblings of the element's own type (("own_type", a, b, last)).
 """
 
 from __future__ import annotations
@@ -87,8 +90,8 @@ def _both(a: tuple, b: tuple) -> tuple:
 
 
 class _Parser:
-    def __init__(self, text: str):
-        self.text, self.at = text, 0
+    def __init__(self, text: str, strict: bool = False):
+        self.text, self.at, self.strict = text, 0, strict
 
     def fail(self, reason: str, back: int = 0):
         raise SelectorError(reason, self.at - back, self.text)
@@ -148,6 +151,10 @@ class _Parser:
         if not self.more():
             return pred
         sign = self.run(">+~" + BLANK)
+        if self.strict and (not self.more() or self.text[self.at] == ","):
+            if sign.strip():
+                self.fail("combinator without its right side", len(sign))
+            return pred
         if not sign:
             if self.text[self.at] == ",":
                 return pred
@@ -197,7 +204,15 @@ class _Parser:
         if not self.more() or self.text[self.at] != "(":
             self.fail("expected an opening parenthesis")
         self.at += 1
-        inner = self.upto(")")
+        if self.strict:
+            depth, start = 1, self.at
+            while self.more() and depth:
+                depth += {"(": 1, ")": -1}.get(self.text[self.at], 0)
+                self.at += 1
+            inner = self.text[start : self.at - 1] if depth == 0 else ""
+            self.at -= 1
+        else:
+            inner = self.upto(")")
         if not inner:
             self.fail("expected something in the parentheses")
         self.at += 1
@@ -205,21 +220,29 @@ class _Parser:
 
     def pseudo(self, before: tuple) -> tuple:
         name = (self.identifier() or "").lower()
-        if name in _SIMPLE:
+        if name in _SIMPLE and not (self.strict and name in ("first-child", "last-child")):
             return _SIMPLE[name]
         if name in ("link", "enabled", "disabled", "checked"):
             return {"link": LINK, "enabled": ENABLED, "disabled": DISABLED, "checked": CHECKED}[name]
+        if self.strict and name in ("first-child", "last-child"):
+            return ("nth_strict", 0, 1, name == "last-child")
+        if self.strict and name in ("first-of-type", "last-of-type"):
+            return ("own_type", 0, 1, name == "last-of-type")
+        if self.strict and name == "only-of-type":
+            return ("and", [("own_type", 0, 1, False), ("own_type", 0, 1, True)])
         if name in ("first-of-type", "last-of-type"):
             return ("nth_type", 0, 1, name == "last-of-type", before)
         if name == "only-of-type":
             return ("only_type", before)
         if name == "not":
-            return ("not", parse_selector(self.inside()))
+            return ("not", parse_selector(self.inside(), self.strict))
         if name in ("nth-child", "nth-last-child", "nth-of-type", "nth-last-of-type"):
             nth = parse_nth(self.inside())
             if nth is None:
                 self.fail("no valid nth expression")
             last = "last" in name
+            if self.strict:
+                return ("own_type" if name.endswith("type") else "nth_strict", *nth, last)
             return ("nth_type", *nth, last, before) if name.endswith("type") else ("nth", *nth, last)
         self.fail("unknown pseudo-class")
         raise AssertionError
@@ -260,18 +283,18 @@ class _Parser:
 
 
 @lru_cache(maxsize=1024)
-def parse_selector(text: str) -> tuple:
+def parse_selector(text: str, strict: bool = False) -> tuple:
     """The selector's predicate tree. SelectorError if the text is none; ValueError without a text."""
     if text is None:
         raise ValueError("a selector is needed")
-    return _Parser(text.strip()).group()
+    return _Parser(text.strip(), strict).group()
 
 
 class Selector:
     """A parsed selector, to be used many times."""
 
-    def __init__(self, text: str):
-        self.text, self.tree = text, parse_selector(text)
+    def __init__(self, text: str, strict_css: bool = False):
+        self.text, self.tree = text, parse_selector(text, strict_css)
 
     @staticmethod
     def of(selector: Selector | str) -> Selector:

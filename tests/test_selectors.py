@@ -4,7 +4,7 @@ from domquarry.operators.parse import parse_html, preorder
 from domquarry.operators.select import select_all, select_first, with_match
 from domquarry.operators.treebuilder import parse_document
 from domquarry.plans.matcher import Matcher
-from domquarry.plans.selector import SelectorError, parse_nth, parse_selector
+from domquarry.plans.selector import Selector, SelectorError, parse_nth, parse_selector
 
 BANG = chr(0x203D)
 PAGE = f"""<root id=root><parent id=empty class="big snoopy dog"></parent><arbitrary id=devoid class=big lang=up-dog> </arbitrary>
@@ -75,6 +75,36 @@ def test_compiled(nodes, selector, expected):
     assert sorted(x for x in found if x) == sorted(expected.split())
 
 
+STRICT = [
+    ("parent , a", "empty one-child three-children a-enabled a-neither"),
+    ("parent > :nth-child(-n+2)", "only-child child1 child2"),
+    ("root > :nth-child(2n+9)", "a-neither"),
+    ("elem:not(:nth-child(1))", "child3"),
+    (".big:first-of-type", "empty devoid"),
+    ("parent.big:last-of-type", ""),
+    ("parent:nth-of-type(2)", "one-child"),
+    ("parent:nth-last-of-type(1)", "three-children"),
+    ("other:only-of-type", "child2"),
+    ("parent:first-child", "empty"),
+]
+
+
+@pytest.mark.parametrize(("selector", "expected"), STRICT)
+def test_strict(nodes, selector, expected):
+    s = Selector(selector, strict_css=True)
+    found = [r[0] for r in select_all(nodes, s).selectExpr("attr['id']").collect()]
+    assert sorted(x for x in found if x) == sorted(expected.split())
+    match = Matcher(s)
+    assert sorted(n.attrs["id"] for n in preorder(parse_document(PAGE).document) if n.kind == "element" and "id" in n.attrs and match.matches(n)) == sorted(expected.split())
+
+
+def test_strict_root_and_errors(nodes):
+    assert select_all(nodes, Selector("html:last-child:first-of-type", strict_css=True)).count() == 1
+    for text in ("a >", "a > , b", ":not((a)"):
+        with pytest.raises(SelectorError):
+            Selector(text, strict_css=True)
+
+
 def test_root_has_no_place_among_siblings(nodes):
     for selector, n in ((":root", 1), ("html:first-child", 1), ("html:last-child", 0), ("html:nth-last-child(even)", 1), ("html:first-of-type", 0), ("html ~ *", 0)):
         assert select_all(nodes, selector).count() == n, selector
