@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import EDGE_TEXTS, prose
+from texts import EDGE_TEXTS, prose
 
 from domquarry.llm import language_id, quality, toxicity
 

@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import pytest
-from conftest import EDGE_TEXTS, prose
+from texts import EDGE_TEXTS, prose
 
 from domquarry.llm import decontaminate
 from domquarry.llm.decontaminate import contamination_report, remove_contamination

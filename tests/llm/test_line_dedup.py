@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import EDGE_TEXTS, prose
+from texts import EDGE_TEXTS, prose
 
 from domquarry.llm.line_dedup import BLANKS, CuckooFilter, LineIndex, dedup_lines
 

@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from conftest import EDGE_TEXTS, prose
+from texts import EDGE_TEXTS, prose
 
 from domquarry.llm import near_dedup
 from domquarry.llm.components import components

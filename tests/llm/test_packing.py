@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import EDGE_TEXTS, prose
+from texts import EDGE_TEXTS, prose
 
 from domquarry.llm import packing, tokens
 from domquarry.llm.packing import Shard, cut_points, pack

@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from conftest import EDGE_TEXTS, prose
+from texts import EDGE_TEXTS, prose
 
 from domquarry.llm.substring_dedup import MIN_WORDS, RUN, dedup_substrings
 

@@ -1,6 +1,6 @@
 from collections import Counter
 
-from conftest import EDGE_TEXTS, prose
+from texts import EDGE_TEXTS, prose
 
 from domquarry.llm import tokens
 from domquarry.llm.token_counts import length_histogram, quantiles, token_lengths, totals_at
