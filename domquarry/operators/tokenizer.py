@@ -32,12 +32,15 @@ _COMMENT_END = re.compile(r"--!?>")
 _COMMENT_CUT = re.compile(r"-(-!?)?\Z")
 _DOCTYPE_NAME = re.compile(r"[^\t\n\f >]*")
 _SCRIPT_MARK = re.compile(r"<!--|-->|<(/?)script(?=[\t\n\f />])", re.I)
+#: Tags as most are written: no attributes, or plain quoted ones; all others take the long way.
+_PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?: [A-Za-z][A-Za-z-]*=\"[^\"&\0]*\")*)>")
+_PLAIN_ATTR = re.compile(r' ([A-Za-z][A-Za-z-]*)="([^"]*)"')
 _DIGITS, _HEX = re.compile(r"[+-]?[0-9]+"), re.compile(r"[0-9A-Fa-f]+")
 
 
 def lower(s: str) -> str:
     """A to Z only."""
-    return s.translate(_UPPER)
+    return s.lower() if s.isascii() else s.translate(_UPPER)
 
 
 def normalize_newlines(text: str) -> str:
@@ -166,6 +169,17 @@ class Tokenizer:
 
     def _tag_open(self) -> None:
         """At a ``<`` in data."""
+        plain = _PLAIN_TAG.match(self.text, self.at)
+        if plain:
+            closing, name, rest = plain.groups()
+            pairs = [(k.lower(), v) for k, v in _PLAIN_ATTR.findall(rest)] if rest else ()
+            attrs = dict(pairs)
+            if len(attrs) == len(pairs) and not (closing and pairs):
+                self.at, name = plain.end(), name.lower()
+                if not closing:
+                    self.last_start_tag = name
+                self.queue.append(("end" if closing else "start", name, attrs, False))
+                return
         text, at = self.text, self.at + 1
         c = text[at] if at < self.end else ""
         if c.isascii() and c.isalpha():
