@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import extended
+from .common import extended, limit_batches, materialize, tidy
 
 #: Lengths that one task sums in order; buckets themselves are summed over max length / BUCKET rows.
 BUCKET = 4096
@@ -30,13 +30,15 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None, keep: tuple[str
             columns = [batch.column(i) for i in range(1, batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens.count_rows(batch.column(0), e), pa.int64())], [*keep, "n_tokens"])
 
+    limit_batches(docs.sparkSession)
     passed = docs.select(F.col("text").alias("_text"), *keep)
-    return passed.mapInArrow(run, extended(docs.select(*keep), "n_tokens long"))
+    return passed.mapInArrow(tidy(run), extended(docs.select(*keep), "n_tokens long"))
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
     """lengths: n_tokens. Rows as described above."""
-    h = lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs"))
+    # written, as it is read twice: otherwise every text would be encoded twice
+    h = materialize(lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")), "length-histogram")
     h = h.withColumn("b", F.expr(f"length div {BUCKET}")).withColumn("t", F.col("length") * F.col("n_docs"))
     buckets = h.groupBy("b").agg(F.sum("n_docs").alias("bd"), F.sum("t").alias("bt"))
     upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
