@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.attributes import attrs_with, attrs_without
+from ..plans.matcher import Matcher
+from ..plans.selector import Selector
 from .parse import _ATTRS, _DDL, _TYPES, with_lookups
 from .serializer import FIELDS, flatten
 from .treebuilder import Node
@@ -160,10 +162,17 @@ def apply_edit(by: dict[int, Node], e: dict) -> None:
 _PLAIN = "doc_id long, " + ", ".join(f"{f} {_DDL[f]}" for f in FIELDS)
 
 
+def _table(doc_id: int, flat: list[list]) -> pa.Table:
+    columns = [pa.array([doc_id] * len(flat), pa.int64())]
+    for i, f in enumerate(FIELDS):
+        values = [r[i] for r in flat]
+        columns.append(pa.array([None if v is None else [{"name": k, "value": x} for k, x in v.items()] for v in values], _ATTRS) if f == "attrs" else pa.array(values, _TYPES[f]))
+    return pa.Table.from_arrays(columns, ["doc_id", *FIELDS])
+
+
 def apply_edits(nodes: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """nodes with the edits applied in order of seq, renumbered and with new offsets. Documents stay on one task each."""
     plain = nodes.select(F.col("doc_id").cast("long"), *FIELDS)
-    names = ["doc_id", *FIELDS]
 
     def rebuilt(rows: list[dict], own: list[dict]) -> pa.Table:
         rows.sort(key=lambda r: r["node_id"])
@@ -173,12 +182,7 @@ def apply_edits(nodes: DataFrame, changes: DataFrame | None = None) -> DataFrame
             if e["spec"]:
                 e["spec"]["attrs"] = dict(e["spec"]["attrs"] or [])
             apply_edit(by, e)
-        flat = flatten(root)[0]
-        columns = [pa.array([rows[0]["doc_id"]] * len(flat), pa.int64())]
-        for i, f in enumerate(FIELDS):
-            values = [r[i] for r in flat]
-            columns.append(pa.array([None if v is None else [{"name": k, "value": x} for k, x in v.items()] for v in values], _ATTRS) if f == "attrs" else pa.array(values, _TYPES[f]))
-        return pa.Table.from_arrays(columns, names)
+        return _table(rows[0]["doc_id"], flatten(root)[0])
 
     if changes is None:
         return with_lookups(plain.groupBy("doc_id").applyInArrow(lambda table: rebuilt(table.to_pylist(), []), _PLAIN))
@@ -186,11 +190,27 @@ def apply_edits(nodes: DataFrame, changes: DataFrame | None = None) -> DataFrame
     changes = changes.select(F.col("doc_id").cast("long").alias("_doc"), "seq", "op", F.col("node_id").alias("target"), "at", "other", "spec")
 
     def both(left, right):
-        return rebuilt(left.to_pylist(), right.to_pylist()) if left.num_rows else pa.Table.from_arrays([pa.array([], pa.int64()), *(pa.array([], _TYPES[f]) for f in FIELDS)], names)
+        return rebuilt(left.to_pylist(), right.to_pylist()) if left.num_rows else _table(0, [])
 
     return with_lookups(plain.groupBy("doc_id").cogroup(changes.groupBy("_doc")).applyInArrow(both, _PLAIN))
 
 
+def edit_matches(nodes: DataFrame, selector: Selector | str, op: str, at: int | None = None, spec: dict | None = None) -> DataFrame:
+    """The same edit for every element that matches, found on the tree that is rebuilt anyway: nodes are read and exchanged once."""
+    selector = Selector.of(selector)
+    plain = nodes.select(F.col("doc_id").cast("long"), *FIELDS)
+
+    def rebuilt(table):
+        rows = sorted(table.to_pylist(), key=lambda r: r["node_id"])
+        by, match = tree_of(rows), Matcher(selector)
+        root = by[rows[0]["node_id"]]
+        for i in [i for i, node in by.items() if node.kind == "element" and match.matches(node)]:
+            apply_edit(by, {"target": i, "op": op, "at": at, "other": None, "spec": spec})
+        return _table(rows[0]["doc_id"], flatten(root)[0])
+
+    return with_lookups(plain.groupBy("doc_id").applyInArrow(rebuilt, _PLAIN))
+
+
 def remove_nodes(nodes: DataFrame, of: DataFrame) -> DataFrame:
     return apply_edits(nodes, edits(of, "remove"))
 

@@ -247,7 +247,7 @@ def fragments(spark, sf_dir):
 def remove_ads(spark, sf_dir):
     """A change to trees: elements go, the rest is renumbered."""
     nodes = _parsed(spark, sf_dir).nodes
-    left = mutate.remove_nodes(nodes, select_all(nodes, ".ad"))
+    left = mutate.edit_matches(nodes, ".ad", "remove")
     return left.groupBy(F.col("doc_id").alias("page_id")).agg(
         F.sum(F.coalesce(F.array_contains("classes", "ad").cast("int"), F.lit(0))).cast("int").alias("n_ads"), F.sum(F.coalesce((F.col("tag_lc") == "li").cast("long"), F.lit(0))).alias("n_li")
     )

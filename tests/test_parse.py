@@ -114,6 +114,8 @@ def test_changes(parsed):
     assert markup(mutate.set_text(n, div, "")).startswith(f"{start}</div>")
     assert markup(mutate.insert_text(n, div, 1, "+")).startswith(f"{start}one+<b>")
     assert markup(mutate.insert_text(n, div, 2, "+")).startswith(f"{start}one<b>two</b>+three")
+    assert markup(mutate.edit_matches(n, "li:first-child, b", "remove")) == f"{start}onethree<!--c--></div><ul><li>2</li></ul>"
+    assert markup(mutate.edit_matches(n, "b", "wrap", spec=mutate.element("i"))).startswith(f"{start}one<i><b>two</b></i>three")
     assert markup(mutate.remove_at(n, div, 1)).startswith(f"{start}onethree")
     ul_id = ul.first()["node_id"]
     assert markup(mutate.move_to(n, b, F.lit(ul_id))).endswith("<ul><li>1</li><li>2</li><b>two</b></ul>")
