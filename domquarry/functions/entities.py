@@ -9,7 +9,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .references import of_name, of_number
+from .references import LONGEST_NAME, WITH_SEMICOLON, of_name, of_number
 
 _ESCAPES = (("&", "&amp;"), (" ", "&nbsp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;"))
 _NUMBER = re.compile(r"\s*(?:[xX]\s*(?:0[xX])?([0-9A-Fa-f]+)|([+-]?[0-9]+))\s*(;?)")
@@ -24,19 +24,20 @@ def html_escape(column: Column | str) -> Column:
 
 
 def unescape(text: str | None) -> str | None:
-    """Decodes references from the right. A text whose last ampersand is its last character stays as it is."""
+    """Decodes references. A text whose last ampersand is its last character stays as it is."""
     if text is None or "&" not in text or text.rfind("&") == len(text) - 1:
         return text
-    out, end = [], len(text)
-    at = text.rfind("&", 0, end)
-    while at >= 0:
-        piece = text[at:end]
-        found = _decode(piece)
-        out.append(piece if found is None else found[0] + piece[found[1] :])
-        end = at
-        at = text.rfind("&", 0, end)
-    out.append(text[:end])
-    return "".join(reversed(out))
+    first, *pieces = text.split("&")
+    out = [first]
+    for piece in pieces:
+        stop = piece.find(";", 1, LONGEST_NAME)
+        value = WITH_SEMICOLON.get(piece[:stop]) if stop > 0 else None
+        if value is not None:
+            out += (value, piece[stop + 1 :])
+        else:
+            found = _decode("&" + piece)
+            out += ("&", piece) if found is None else (found[0], piece[found[1] - 1 :])
+    return "".join(out)
 
 
 def _decode(piece: str) -> tuple[str, int] | None:
