@@ -34,12 +34,19 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
-def _shrink(batches):
+def _shrinker(*names: str):
+    def run(batches):
+        yield from _shrink(batches, list(names))
+
+    return run
+
+
+def _shrink(batches, names: list[str]):
     def out(held):
         u = np.concatenate([b.column(0).to_numpy() for b in held])
         v = np.concatenate([b.column(1).to_numpy() for b in held])
         a, b = _forest(u, v)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names)
 
     held, n = [], 0
     for batch in batches:
@@ -56,11 +63,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """links: u, v (long). Gives node, root for each node that has a link to another; root is the least node reachable.
 
     Null ends and loops are no links. Each partition first keeps only a spanning forest of its links; each round is
-    written to the shared folder. A hub's links are never gathered: rounds take minima (combined map-side) and join.
+    written to the shared folder. A hub's links are never gathered: rounds take minima (combined map-side) and join. Only when at
+    most LOCAL_LINKS links are left in all does one task end the work.
     """
     links = links.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.col("u").cast("long"), F.col("v").cast("long"))
-    edges = materialize(links.mapInArrow(tidy(_shrink), "u long, v long").distinct(), "links")
+    edges = materialize(links.mapInArrow(tidy(_shrinker("u", "v")), "u long, v long").distinct(), "links")
     spark, before = edges.sparkSession, None
+    if edges.count() <= LOCAL_LINKS:  # few enough for one task's union-find: 16 bytes a link
+        return materialize(edges.coalesce(1).mapInArrow(tidy(_shrinker("node", "root")), "node long, root long"), "links-small")
     for _ in range(max_rounds):
         # large star: a node's greater neighbours are linked to its least neighbour (or itself)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -4,6 +4,7 @@ import re
 import pytest
 from texts import EDGE_TEXTS, prose
 
+from domquarry.llm import components as linked
 from domquarry.llm import near_dedup
 from domquarry.llm.components import components
 from domquarry.llm.near_dedup import dedup_near, near_duplicates, pack_set, unpack_set
@@ -87,7 +88,9 @@ def test_empty_table(docs_of):
     assert near_duplicates(docs_of([])).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [1 << 20, 50])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(linked, "LOCAL_LINKS", local)
     rng = random.Random(0)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(150)] + [(5000, 6000 + i) for i in range(200)] + [(7, 7), (None, 3), (3, None)]
     root = {}
