@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -75,6 +76,12 @@ def release(spark: SparkSession, df: DataFrame) -> None:
             _WRITTEN.remove(own)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Has the files of shuffles deleted that no live DataFrame reads: they go when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

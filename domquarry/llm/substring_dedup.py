@@ -1,4 +1,4 @@
-"""Substring dedup by sliding sentence spans: every run of RUN consecutive sentences is hashed and joined over all documents.
+"""Substring dedup: runs of RUN consecutive sentences, and every passage of PASSAGE words wherever it begins and ends.
 
 A sentence ends after ``.``, ``!`` or ``?`` before white space, and at each line end; it is compared by its words
 (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, A-Z lower-cased) and is none without words. A run that stands elsewhere too loses all its
@@ -6,6 +6,13 @@ places but the first (least doc_id, then least place). Runs of a document that o
 MIN_WORDS words are removed, shorter ones are chance and stay. The same holds for a passage that one document repeats.
 A document of fewer sentences than a run is one run.
 
+A passage is PASSAGE consecutive words of a document, whatever stands between them. Of each PASSAGE - GRAM + 1 consecutive
+GRAM-word runs those of least hash are its anchors, so equal passages have equal anchors. Around anchors that stand twice all
+passages are hashed and joined; their words go from all places but the first. Places wholly in removed sentence spans don't count.
+Words that go with sentence spans aside, fewer than MIN_WORDS consecutive ones stay: a passage keeps less than that at either end
+of such a span. A cut that begins or ends with a
+sentence takes the signs around its words too. n_removed and spans count sentences that go whole or in part.
+
 Cases: null or empty text has no sentences and stays as it is; a row without doc_id comes after all others; rows that repeat a
 doc_id count as one document whose row with the same text comes first, so equal rows are all kept; an empty table gives none.
 """
@@ -17,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_binary, extended, lut, materialize, mix, powers, slices, span_hash, tidy, word_spans
+from .common import LOWER, drop_shuffles, extended, lut, materialize, mix, powers, release, slices, span_hash, tidy, word_spans
 
 RUN, MIN_WORDS = 2, 20
+PASSAGE, GRAM = 51, 20
+_P = 0x9E3779B97F4A7C15
 _STEP = np.random.default_rng(20240301).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -27,15 +36,30 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
 
-def sentences(data: np.ndarray, off: np.ndarray):
-    """Of a slice's rows: start and end bytes, words and 64-bit hashes of sentences with words, and where each row's begin."""
+class _Words:
+    """The words of a slice's rows: start and end bytes, where each row's begin, and hashes of word runs."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        low = LOWER[data]
+        self.start, self.end, self.first = word_spans(low, off, lut("alnum"))
+        # words weighted by place: powers of one odd number, taken from the running sum over the slice
+        self.n = len(self.start)
+        self._sum = np.zeros(self.n + 1, np.uint64)
+        if self.n:
+            np.cumsum(span_hash(low, self.start, self.end) * powers(_P, self.n + 1)[: self.n], out=self._sum[1:])
+
+    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the words a to b, b exclusive."""
+        return mix((self._sum[b] - self._sum[a]) * powers(pow(_P, -1, 1 << 64), self.n + 1)[a] ^ (b - a).astype(np.uint64))
+
+
+def sentences(data: np.ndarray, off: np.ndarray, words: _Words):
+    """Of a slice's rows: start and end bytes, first words, words and 64-bit hashes of sentences with words, and where each row's begin."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    low = LOWER[data]
-    ws, we, _ = word_spans(low, off, lut("alnum"))
-    wh = span_hash(low, ws, we)
+        return z, z, z, z, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+    ws = words.start
     brk = np.zeros(n + 1, bool)  # a sentence begins here
     brk[0] = brk[off[off < n]] = True
     brk[1:] |= data == 10
@@ -45,12 +69,47 @@ def sentences(data: np.ndarray, off: np.ndarray):
     a, b = np.searchsorted(ws, begin), np.searchsorted(ws, end)
     has = b > a
     begin, end, a, b = begin[has], end[has], a[has], b[has]
-    # words weighted by place in the sentence: powers of one odd number, taken from the running sum over the slice
-    p = 0x9E3779B97F4A7C15
-    c = np.zeros(len(wh) + 1, np.uint64)
-    np.cumsum(wh * powers(p, len(wh) + 1)[: len(wh)], out=c[1:])
-    h = (c[b] - c[a]) * powers(pow(p, -1, 1 << 64), len(wh) + 1)[a]
-    return begin, end, b - a, mix(h ^ (b - a).astype(np.uint64)), np.searchsorted(begin, off)
+    return begin, end, a, b - a, words.hashes(a, b), np.searchsorted(begin, off)
+
+
+def _bounds(hit: np.ndarray) -> list[tuple[int, int]]:
+    """Begins and ends of runs of true values, the first and last being false and not counted."""
+    return list(zip(np.flatnonzero(hit[1:] & ~hit[:-1]).tolist(), np.flatnonzero(~hit[1:] & hit[:-1]).tolist(), strict=True))
+
+
+def _slide(x: np.ndarray, size: int, of) -> np.ndarray:
+    """of (minimum or maximum) over each size consecutive values."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        x = of(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def _open(gone: np.ndarray) -> np.ndarray:
+    """By a passage's first word: whether any of its words stays."""
+    stay = np.append(0, np.cumsum(~gone))
+    return stay[PASSAGE:] > stay[:-PASSAGE]
+
+
+def anchors(words: _Words, gone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number of the first word in it and hash of each anchor of a passage that isn't wholly ``gone``."""
+    none = np.zeros(0, np.int64)
+    if words.n < PASSAGE:
+        return none, none, np.zeros(0, np.int64)
+    at = np.arange(words.n - GRAM + 1)
+    h = words.hashes(at, at + GRAM)
+    width = PASSAGE - GRAM + 1
+    least = _slide(h, width, np.minimum)  # by a passage's first word
+    row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    least[row[: len(least)] != row[PASSAGE - 1 :]] = 0  # no passage crosses rows
+    if gone is not None:
+        least[~_open(gone)] = 0
+    edge = np.zeros(width - 1, np.uint64)
+    most = _slide(np.concatenate([edge, least, edge]), width, np.maximum)  # over the passages that hold the run
+    at = np.flatnonzero((most == h) & (h > 0))
+    return row[at], at - words.first[row[at]], h[at].view(np.int64)
 
 
 def runs(h: np.ndarray, first: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,12 +127,74 @@ def runs(h: np.ndarray, first: np.ndarray, run: int) -> tuple[np.ndarray, np.nda
     return row, at, mix(x).view(np.int64), (mix(x ^ np.uint64(0x5555AAAA5555AAAA)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _gone_spans(listed: list[int] | None, words: np.ndarray, run: int, min_words: int) -> list[tuple[int, int]]:
+    """A row's spans of sentences to remove; listed: where runs begin, words: of its sentences."""
+    if not listed:
+        return []
+    hit = np.zeros(len(words) + 2, bool)
+    for i in listed:
+        hit[i + 1 : min(i + run, len(words)) + 1] = True
+    return [(s, t) for s, t in _bounds(hit) if words[s:t].sum() >= min_words]
+
+
+def _gone_words(data: np.ndarray, off: np.ndarray, w: _Words, listed: list, run: int, min_words: int) -> np.ndarray:
+    """Whether each word of a slice is in a removed span."""
+    gone = np.zeros(w.n, bool)
+    if any(listed):
+        _, _, head, words, _, first = sentences(data, off, w)
+        for r, at in enumerate(listed):
+            lo, hi = first[r], first[r + 1]
+            for s, t in _gone_spans(at, words[lo:hi], run, min_words):
+                gone[head[lo + s] : head[lo + t - 1] + words[lo + t - 1]] = True
+    return gone
+
+
+def _anchors_of(run: int, min_words: int):
+    def go(batches):
+        for batch in batches:
+            ids, listed = batch.column(1), batch.column(2).to_pylist()
+            for a, b, data, off in slices(batch.column(0)):
+                w = _Words(data, off)
+                row, at, h = anchors(w, _gone_words(data, off, w, listed[a:b], run, min_words))
+                yield pa.RecordBatch.from_arrays([pa.array(h), ids.slice(a, b - a).take(pa.array(row)), pa.array(at.astype(np.int32))], ["x", "doc_id", "at"])
+
+    return go
+
+
+def _passages_of(run: int, min_words: int):
+    """All passages that hold one of the listed anchors and aren't wholly removed."""
+
+    def go(batches):
+        for batch in batches:
+            ids, listed, grams = batch.column(1), batch.column(2).to_pylist(), batch.column(3)
+            for a, b, data, off in slices(batch.column(0)):
+                w = _Words(data, off)
+                lists = grams.slice(a, b - a)
+                row = np.repeat(np.arange(b - a), lists.value_lengths().to_numpy())
+                gram = lists.flatten().to_numpy() + w.first[row]
+                near = np.zeros(w.n + 1, np.int64)
+                np.add.at(near, np.maximum(gram + GRAM - PASSAGE, w.first[row]), 1)
+                np.add.at(near, gram + 1, -1)
+                at = np.flatnonzero(np.cumsum(near)[: w.n])
+                row = np.searchsorted(w.first, at, "right") - 1
+                ok = at + PASSAGE <= w.first[row + 1]
+                at, row = at[ok], row[ok]
+                if len(at):
+                    ok = _open(_gone_words(data, off, w, listed[a:b], run, min_words))[at]
+                    at, row = at[ok], row[ok]
+                h = w.hashes(at, at + PASSAGE)
+                y = (mix(h ^ np.uint64(0x5555AAAA5555AAAA)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(y), ids.slice(a, b - a).take(pa.array(row)), pa.array((at - w.first[row]).astype(np.int32))], ["x", "y", "doc_id", "at"])
+
+    return go
+
+
 def _runs_of(run: int):
     def go(batches):
         for batch in batches:
             ids = batch.column(1)
             for a, b, data, off in slices(batch.column(0)):
-                *_, h, first = sentences(data, off)
+                *_, h, first = sentences(data, off, _Words(data, off))
                 row, at, x, y = runs(h, first, run)
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), ids.slice(a, b - a).take(pa.array(row)), pa.array(at.astype(np.int32))], ["x", "y", "doc_id", "at"])
 
@@ -86,27 +207,36 @@ def _remover(own: list[str], run: int, min_words: int):
     def go(batches):
         for batch in batches:
             column = batch.column(text_at)
-            listed = batch.column(len(own)).to_pylist()
+            listed, repeated = batch.column(len(own)).to_pylist(), batch.column(len(own) + 1).to_pylist()
             texts, n_sentences, n_removed, spans = [], [], [], []
             for a, b, data, off in slices(column):
-                begin, end, words, _, first = sentences(data, off)
+                w = _Words(data, off)
+                begin, end, head, words, _, first = sentences(data, off, w)
                 raw = data.tobytes()
                 for r in range(b - a):
                     lo, hi, text = first[r], first[r + 1], raw[off[r] : off[r + 1]]
                     own_spans = []
-                    if listed[a + r]:
-                        hit = np.zeros(hi - lo + 2, bool)
-                        for i in listed[a + r]:
-                            hit[i + 1 : min(i + run, hi - lo) + 1] = True
-                        starts = np.flatnonzero(hit[1:] & ~hit[:-1])
-                        stops = np.flatnonzero(~hit[1:] & hit[:-1])
-                        out, done = [], 0
-                        for s, t in zip(starts.tolist(), stops.tolist(), strict=True):
-                            if words[lo + s : lo + t].sum() >= min_words:
-                                own_spans.append({"start": s, "end": t})
-                                out.append(text[done : begin[lo + s] - off[r]])
-                                done = end[lo + t - 1] - off[r]
-                        if own_spans:
+                    if listed[a + r] or repeated[a + r]:
+                        touched, cuts = np.zeros(hi - lo + 2, bool), []
+                        left = np.zeros(w.first[r + 1] - w.first[r] + 2, bool)  # words of repeated passages
+                        for i in repeated[a + r] or ():
+                            left[i + 1 : i + PASSAGE + 1] = True
+                        for s, t in _gone_spans(listed[a + r], words[lo:hi], run, min_words):
+                            touched[s + 1 : t + 1] = True
+                            cuts.append((begin[lo + s], end[lo + t - 1]))
+                            left[head[lo + s] - w.first[r] + 1 : head[lo + t - 1] + words[lo + t - 1] - w.first[r] + 1] = False
+                        for s, t in _bounds(left):
+                            if t - s >= min_words:
+                                s, t = s + w.first[r], t + w.first[r]
+                                i, j = np.searchsorted(head[lo:hi], [s, t - 1], "right") - 1
+                                touched[i + 1 : j + 2] = True
+                                cuts.append((begin[lo + i] if head[lo + i] == s else w.start[s], end[lo + j] if head[lo + j] + words[lo + j] == t else w.end[t - 1]))
+                        if cuts:
+                            own_spans = [{"start": s, "end": t} for s, t in _bounds(touched)]
+                            out, done = [], 0
+                            for s, t in sorted(cuts):
+                                out.append(text[done : s - off[r]])
+                                done = t - off[r]
                             text = b"".join([*out, text[done:]])
                     texts.append(text)
                     n_sentences.append(hi - lo)
@@ -119,21 +249,54 @@ def _remover(own: list[str], run: int, min_words: int):
     return go
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id, at: first sentences of all runs that aren't the first of their kind."""
-    spans = materialize(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(tidy(_runs_of(run)), "x long, y int, doc_id long, at int"), "sentence-runs")
+def _not_first(spans: DataFrame, name: str) -> DataFrame:
+    """doc_id, at of a written table's rows that aren't the first of their kind (x, y)."""
     # nulls last; minima are combined map-side, so a run that most documents share is no burden
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
     firsts = spans.groupBy("x", "y").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").select("x", "y", "f")
-    firsts = materialize(firsts, "sentence-firsts")
+    firsts = materialize(firsts, name)
     return spans.join(firsts, ["x", "y"]).where(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("at") == F.col("f.at")))).select("doc_id", "at")
 
 
+def _lists(places: DataFrame, name: str) -> DataFrame:
+    return places.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_set("at")).alias(name))
+
+
+def _with_lists(docs: DataFrame, lists: DataFrame, how: str = "left") -> DataFrame:
+    return docs.join(lists, docs["doc_id"].eqNullSafe(lists["_doc"]), how).drop("_doc")
+
+
+def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """doc_id, at: first sentences of all runs that aren't the first of their kind."""
+    spans = materialize(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(tidy(_runs_of(run)), "x long, y int, doc_id long, at int"), "sentence-runs")
+    out = materialize(_not_first(spans, "sentence-firsts"), "sentence-gone")
+    release(docs.sparkSession, spans)
+    return out
+
+
+def repeated_passages(docs: DataFrame, run: int, min_words: int) -> DataFrame:
+    """doc_id, at: first words of all passages that aren't the first of their kind. docs: a written table with _at, a row's repeated runs."""
+    spark, docs = docs.sparkSession, docs.select("text", F.col("doc_id").cast("long"), "_at")
+    found = materialize(docs.mapInArrow(tidy(_anchors_of(run, min_words)), "x long, doc_id long, at int"), "passage-anchors")
+    twice = found.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")
+    near = materialize(_lists(found.join(twice, "x"), "_grams"), "passage-near")
+    release(spark, found)
+    drop_shuffles(spark)
+    near = _with_lists(docs, near, "inner").select("text", "doc_id", "_at", "_grams")
+    spans = materialize(near.mapInArrow(tidy(_passages_of(run, min_words)), "x long, y int, doc_id long, at int"), "passages")
+    del near
+    drop_shuffles(spark)
+    out = materialize(_lists(_not_first(spans, "passage-firsts"), "_words"), "passage-gone")
+    release(spark, spans)
+    drop_shuffles(spark)
+    return out
+
+
 def dedup_substrings(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with kept_text, n_sentences, n_removed and spans (of sentences, end exclusive); own columns of these names go."""
     own = [c for c in docs.columns if c not in ("kept_text", "n_sentences", "n_removed", "spans")]
-    docs = docs.select(*own)
-    gone = repeated_runs(docs, run).groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_set("at")).alias("_at"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_doc"]), "left").select(*own, "_at")
-    schema = extended(docs, "kept_text string, n_sentences long, n_removed long, spans array<struct<start:long,end:long>>")
+    schema = extended(docs.select(*own), "kept_text string, n_sentences long, n_removed long, spans array<struct<start:long,end:long>>")
+    docs = materialize(_with_lists(docs.select(*own), _lists(repeated_runs(docs.select(*own), run), "_at")), "substring-docs")
+    drop_shuffles(docs.sparkSession)
+    joined = _with_lists(docs, repeated_passages(docs, run, min_words)).select(*own, "_at", "_words")
     return joined.mapInArrow(tidy(_remover(own, run, min_words)), schema)

@@ -83,3 +83,52 @@ def test_what_is_caught(docs_of):
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "")]])
 def test_little(docs_of, rows):
     assert [r["n_removed"] for r in dedup_substrings(docs_of(rows)).collect()] == [0] * len(rows)
+
+
+def words_of(seed, n, sep=" "):
+    return sep.join(WORD.findall(prose(seed, n)))
+
+
+LONG = {k: words_of(5000 + k, 51, sep) for k, sep in enumerate((" ", " ", ".*** ", ".&&&"))}
+
+
+def passages(n):
+    """Documents with a passage of n words in them: a sentence between others, in mid-sentence, with stops before other signs."""
+    rows = []
+    for k, (before, after) in enumerate(((". ", ". "), (" ", " "), (" ", " "), ("; ", ', "'))):
+        p = LONG[k] if n == 51 else re.match(r"(?:\w+\W+){%d}\w+" % (n - 1), LONG[k]).group()
+        rows += [(1000 + 10 * k + i, f"{words_of(6000 + 10 * k + i, 30)}{before}{p if i % 2 else p.upper()}{after}{words_of(7000 + 10 * k + i, 30)}", p) for i in range(3)]
+    return [*rows, (2000, LONG[0][:1].upper() + LONG[0][1:] + ".", LONG[0])]
+
+
+def test_passages_in_mid_sentence(docs_of):
+    rows = passages(51)
+    by = {r["doc_id"]: r for r in dedup_substrings(docs_of([r[:2] for r in rows])).collect()}
+    for doc, text, p in rows:
+        kept = WORD.findall(by[doc]["kept_text"].lower())
+        if doc % 10 == 0 and doc < 2000:
+            assert by[doc]["kept_text"] == text and by[doc]["n_removed"] == 0
+        else:
+            own = WORD.findall(text.lower())
+            at = next(i for i in range(len(own)) if own[i : i + 51] == WORD.findall(p.lower()))
+            assert kept == own[:at] + own[at + 51 :] and by[doc]["n_removed"] > 0 and by[doc]["spans"]
+
+
+def test_shorter_passages_stay(docs_of):
+    rows = [r[:2] for r in passages(50) if r[0] < 2000]
+    assert all(r["n_removed"] == 0 and r["kept_text"] == dict(rows)[r["doc_id"]] for r in dedup_substrings(docs_of(rows)).collect())
+
+
+def test_equal_passages_have_equal_anchors():
+    import numpy as np
+
+    from domquarry.llm.substring_dedup import _Words, anchors
+
+    rows = [words_of(9000 + i, 40) + " " + LONG[0] + " " + words_of(9500 + i, i) for i in range(40)]
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    row, at, h = anchors(_Words(data, np.cumsum([0, *map(len, rows)])))
+    for i in range(40):
+        inside = {(p - 40, x) for p, x in zip(at[row == i].tolist(), h[row == i].tolist(), strict=True) if 40 <= p <= 71}
+        if i == 0:
+            least = min(inside, key=lambda v: v[1] % (1 << 64))
+        assert least in inside
