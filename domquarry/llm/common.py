@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,20 +115,26 @@ def crc_mod(col, n: int):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, per_class: int, max_chars: int, id_col: str = "doc_id") -> DataFrame:
     """At most per_class labelled rows of each label value, drawn by hash order of the id, with their whole texts.
 
+    Every label value is drawn from: with more than 64 of them, 64 * per_class rows are shared out evenly, one each at least.
     Rows for which the Column ``allowed`` isn't true, null labels and texts beyond max_chars are no candidates.
     Ids are drawn before any text is read.
     """
     limit_batches(docs.sparkSession)
     ids = labels.select(F.col(id_col), F.col(label).cast("string").alias("_label")).where(F.col("_label").isNotNull() & F.col(id_col).isNotNull() & allowed)
     ids = ids.dropDuplicates([id_col])
-    values = [r[0] for r in ids.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(64).collect()]
+    values = [r[0] for r in ids.groupBy("_label").count().orderBy(F.desc("count"), "_label").collect()]  # a row a label value
+    per_class = max(1, min(per_class, 64 * per_class // max(1, len(values))))
     drawn = None
-    for v in values:
+    for v in values[:64]:
         part = ids.where(F.col("_label") == v).orderBy(F.xxhash64(id_col), id_col).limit(per_class)
         drawn = part if drawn is None else drawn.unionByName(part)
     if drawn is None:
         drawn = ids.limit(0)
-    # per_class * 64 ids of 8 bytes at most: a proven bound for the broadcast
+    if len(values) > 64:  # one window over the ids of the rest, not a plan a value
+        rest = Window.partitionBy("_label").orderBy(F.xxhash64(id_col), id_col)
+        rest = ids.where(~F.col("_label").isin(values[:64])).withColumn("_n", F.row_number().over(rest)).where(F.col("_n") <= per_class).drop("_n")
+        drawn = drawn.unionByName(rest)
+    # 64 * per_class ids of 8 bytes, or one a label value: the broadcast is bounded by these
     return docs.select(id_col, "text").where(F.length("text") <= max_chars).join(F.broadcast(drawn), id_col).select(id_col, "text", "_label")
 
 

@@ -4,8 +4,8 @@ Each language has a codeword of BITS signs, chosen to differ in many places. For
 n-grams (of 1 to 4 bytes of words, hashed) predicts the sign; decoding weighs each bit's logistic loss and takes the codeword of
 least total. ``ambiguous`` marks texts whose best two codewords are near.
 
-Training rows are a bounded sample: PER_LANGUAGE rows of a language at most, by hash order of ids, MAX_CHARS characters each at
-most, of the 64 most frequent languages. Prediction reads every whole text.
+Training rows are a bounded sample of every language: PER_LANGUAGE rows of a language at most, by hash order of ids, MAX_CHARS
+characters each at most; beyond 64 languages, 64 * PER_LANGUAGE rows are shared out evenly. Prediction reads every whole text.
 
 Cases: null text or text without a letter is ``und`` with score 0; without training rows all are ``und``; with one language
 all texts with a letter are of it.
@@ -126,7 +126,7 @@ def train(texts: list[str], languages: list[str]) -> CodeModel:
 def fit(docs: DataFrame, allowed, lang: str = "lang") -> CodeModel:
     """Learns from rows with text and a language for which the Column ``allowed`` is true."""
     known = docs.where(F.col("text").isNotNull()).select("doc_id", lang)
-    rows = labelled_sample(docs, known, lang, allowed, PER_LANGUAGE, MAX_CHARS).collect()  # 64 * PER_LANGUAGE rows at most
+    rows = labelled_sample(docs, known, lang, allowed, PER_LANGUAGE, MAX_CHARS).collect()  # 64 * PER_LANGUAGE rows, or one a language
     rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows], [r["_label"] for r in rows])
 

@@ -131,3 +131,14 @@ def test_tables_are_additive():
     b = m.bins(x)
     by_hand = m.bias + sum(t[b[:, j]] for j, t in enumerate(m.tables)) + sum(t[m.coarse(b, i), m.coarse(b, j)] for i, j, t in m.pairs)
     assert np.allclose(by_hand, m.logits(x))
+
+
+def test_every_label_value_is_drawn_from(spark):
+    from pyspark.sql import functions as F
+
+    from domquarry.llm.common import labelled_sample
+
+    rows = [(i, f"text {i}", f"l{i % 70:02d}") for i in range(700)] + [(700 + i, f"text {700 + i}", "l00") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = labelled_sample(docs, docs.select("doc_id", "lang"), "lang", F.lit(True), 5, 100).groupBy("_label").count().collect()
+    assert len(got) == 70 and sum(r["count"] for r in got) <= 64 * 5 and min(r["count"] for r in got) >= 1
