@@ -2,9 +2,9 @@
 
 A document is its token ids and an end id 0. A shard is a run of documents of one partition, SHARD_DOCS or SHARD_TOKENS at
 most (one document at least): texts are never shuffled. Document frequencies, the number of documents and their mean length
-come from all documents. In a shard, the document that begins a window is its seed; its QUERY_TERMS terms of highest idf are
-looked up in the shard's inverted index, and the unused document of highest BM25 score (ties: the earliest) comes next, until the
-window is full. What overflows begins the next window. So sequences are full but for a shard's last; that is cut into powers of
+come from all documents. In a shard, the document that begins a window is its seed; all its terms are looked
+up in the shard's inverted index, and the unused document of highest BM25 score (ties: the earliest) comes next, until the
+window is full. Weights are multiples of 2 ** -30, so that sums are exact in any order and ties are ties. What overflows begins the next window. So sequences are full but for a shard's last; that is cut into powers of
 two, which need no padding: no padding at all. Documents without a neighbour are followed by the first unused one.
 
 Cases: null text is empty and is one piece of the end id; rows that repeat a doc_id are each packed; an empty table gives none.
@@ -12,6 +12,7 @@ Cases: null text is empty and is one piece of the end id; rows that repeat a doc
 
 from __future__ import annotations
 
+import sys
 import zlib
 
 import numpy as np
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import materialize, tidy
 
-WINDOW, SHARD_DOCS, SHARD_TOKENS, QUERY_TERMS = 1024, 1024, 1 << 21, 16
+WINDOW, SHARD_DOCS, SHARD_TOKENS = 1024, 1024, 1 << 21
+#: How many of a seed's terms are looked up: all.
+QUERY_TERMS = sys.maxsize
 K1, B = 1.2, 0.75
 END = 0
 
@@ -77,20 +80,23 @@ class Shard:
         length = np.array([len(x) for x in docs], np.float64)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean, 1.0)))
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order].astype(np.int32), weight[order]
+        self.doc, self.weight = doc[order].astype(np.int32), np.rint(weight[order] * (1 << 30))
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
         self.n = len(docs)
+        self._scored, self._scores = -1, np.zeros(self.n)
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of all documents for the seed's terms, in units of 2 ** -30; the last seed's are kept."""
+        if seed != self._scored:
+            terms = self.terms[seed].astype(np.int64)
+            a, size = self.first[terms], self.first[terms + 1] - self.first[terms]
+            at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            self._scored, self._scores = seed, np.bincount(self.doc[at], self.weight[at], self.n)
+        return self._scores
 
     def neighbour(self, seed: int, unused: np.ndarray) -> int:
         """The unused document of highest score, -1 if none shares a term."""
-        terms = self.terms[seed].astype(np.int64)
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.idf[terms], QUERY_TERMS - 1)[:QUERY_TERMS]]
-        spans = list(zip(self.first[terms].tolist(), self.first[terms + 1].tolist(), strict=True))
-        if not spans:
-            return -1
-        doc = np.concatenate([self.doc[a:b] for a, b in spans])
-        score = np.bincount(doc, np.concatenate([self.weight[a:b] for a, b in spans]), self.n) * unused
+        score = self.scores(seed) * unused
         best = int(score.argmax())
         return best if score[best] > 0 else -1
 

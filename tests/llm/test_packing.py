@@ -110,3 +110,12 @@ def test_cuts(total):
     points = cut_points(total, 1024)
     sizes = np.diff(points)
     assert points[0] == 0 and points[-1] == total and all(s & (s - 1) == 0 and 0 < s <= 1024 for s in sizes.tolist())
+
+
+def test_all_terms_of_a_seed_count():
+    seed = np.arange(1, 201, dtype=np.uint16)
+    # the seed's 16 rarest terms stand nowhere else; the second document shares most of the others, the third is its equal
+    docs = [seed, np.arange(17, 40, dtype=np.uint16), np.arange(17, 200, dtype=np.uint16), np.arange(17, 200, dtype=np.uint16)[::-1].copy()]
+    idf = np.full(1 << 16, 1.1)
+    idf[1:17] = 9.0
+    assert Shard(docs, idf, 100.0).neighbour(0, np.array([False, True, True, True])) == 2
