@@ -6,16 +6,16 @@ the whole sequence as one; without words it is empty and linked with nothing. Do
 
 1. One pass makes of each text a hash of its set, 64 minwise tokens and a bit of each of 256.
 2. Documents of equal sets are one class (a hash aggregate, combined map-side); only classes go on.
-3. TREES independent trees branch the classes by one token each at the root.
+3. Independent trees branch the classes by one token each at the root.
 4. Star pass: each node's least class is compared with its other members: a group of thousands of near copies gives one pair
    a member, not all pairs. Confirmed links are contracted to components.
 5. Exhaustive pass: only nodes that still hold several components count. Nodes of at most LEAF classes are compared whole;
    larger ones branch again by two tokens a node, down to DEPTH; what is still large there is compared in blocks.
-   A pair of one component is never compared again. Pairs are dropped whose 64 bits differ in over BITS places, or whose sketches of
-   256 bits in over SKETCH_BITS; the rest are confirmed on full sets.
+   A pair of one component is never compared again. Pairs are dropped whose 64 bits differ, or whose sketches of 256 bits,
+   in more places than limits(percent) allows; the rest are confirmed on full sets.
 
 A pair of similarity 0.85 shares a root token in a tree with probability 0.85 and survives each further level with 0.9775;
-a bit differs with probability 0.075, so over 18 of 64 or over 42 of 256 do with probability under 1e-6. With 10 trees a link is missed with probability 6e-9 where root
+a bit differs with probability 0.075, so over 18 of 64 or over 42 of 256 do with probability under 1e-6; other values of percent have limits of their own. With 10 trees a link is missed with probability 6e-9 where root
 nodes are small and under 1e-6 three levels down.
 
 Cases: a row without doc_id is linked with nothing, its component_id is null and it is kept; rows that repeat a doc_id are each
@@ -24,6 +24,8 @@ judged by their own text; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, lut, materialize, mix, slices, span_hash, tidy, word_spans
 from .components import components
 
-SHINGLE, TOKENS, SKETCH, TREES, LEAF, DEPTH, BITS, SKETCH_BITS = 5, 64, 256, 10, 32, 4, 18, 42
+SHINGLE, TOKENS, SKETCH, LEAF, DEPTH = 5, 64, 256, 32, 4
+#: Probability with which a link at the threshold may be lost to one sketch, and to all trees three levels down.
+MISS = 1e-6
 #: Ids of compared classes are broadcast up to this number (8 bytes each); beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -42,6 +46,29 @@ _ODD = _rng.integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.ui
 _STEP = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def limits(percent: int) -> tuple[int, int, int]:
+    """Differing bits allowed of 64 and of SKETCH, and trees: what a link of similarity percent / 100 meets but for MISS."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent is above 0 and 100 at most")
+    p = (100 - percent) / 200  # minwise tokens differ with probability 1 - similarity, their bits in half of these cases
+
+    def bits(n: int) -> int:
+        tail = 0.0
+        for k in range(n, 0, -1):
+            tail += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+            if tail > MISS:
+                return k
+        return 0
+
+    # a root token is shared with probability percent / 100, one of two tokens on each further level
+    s = percent / 100
+    lost = 1 - s * (1 - (1 - s) ** 2) ** 3
+    trees = max(10, math.ceil(math.log(MISS) / math.log(lost))) if lost > 0 else 10
+    if trees > TOKENS:
+        raise ValueError(f"percent={percent} takes {trees} root tokens; there are {TOKENS}")
+    return bits(64) + 1, bits(SKETCH), trees
+
+
 def shingle_sets(column: pa.Array):
     """For each row, in order: the sorted distinct 64-bit shingle hashes of its text."""
     for _, _, data, off in slices(column):
@@ -136,6 +163,7 @@ def _confirm(percent: int):
 class _Join:
     def __init__(self, docs: DataFrame, percent: int):
         self.percent = percent
+        self.bits, self.sketch_bits, self.trees = limits(percent)
         self.docs = docs.select(F.col("doc_id").cast("long"), "text")
         self.rows = materialize(self.docs.mapInArrow(tidy(_sketcher), "doc_id long, n_shingles long, c long, lo long, bits long, fine array<long>, tokens array<int>"), "near-sketches")
         real = self.rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -144,19 +172,19 @@ class _Join:
 
     def roots(self) -> DataFrame:
         """node, c, n, bits, tree: one root branch a tree."""
-        node = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.xxhash64(t, F.get("tokens", t * F.lit(TOKENS // TREES))).alias("node")))
+        node = F.transform(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.struct(F.xxhash64(t, F.get("tokens", t * F.lit(TOKENS // self.trees))).alias("node")))
         return self.classes.select("c", "n", "bits", F.explode(node).alias("b")).select(F.col("b.node").alias("node"), "c", "n", "bits")
 
     def near(self, n1: str, n2: str, b1: str, b2: str):
         """What any linked pair meets: sizes within the ratio, few differing bits."""
-        return F.expr(f"100 * least({n1}, {n2}) >= {self.percent} * greatest({n1}, {n2}) AND bit_count({b1} ^ {b2}) <= {BITS}")
+        return F.expr(f"100 * least({n1}, {n2}) >= {self.percent} * greatest({n1}, {n2}) AND bit_count({b1} ^ {b2}) <= {self.bits}")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """pairs: distinct a, b of classes. Those whose full sets are similar enough, as u, v. All bits of the sketches are compared first."""
         fine = self.classes.select("c", "fine")
         apart = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(SKETCH // 64))
         pairs = pairs.join(fine.withColumnsRenamed({"c": "a", "fine": "x"}), "a").join(fine.withColumnsRenamed({"c": "b", "fine": "y"}), "b")
-        pairs = materialize(pairs.where(f"{apart} <= {SKETCH_BITS}").select("a", "b"), "near-alike")
+        pairs = materialize(pairs.where(f"{apart} <= {self.sketch_bits}").select("a", "b"), "near-alike")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(self.classes.select("c", "doc_id"), "c").select("doc_id").distinct()
         ids = materialize(ids, "near-ids")
         if ids.count() <= BROADCAST_IDS:

@@ -118,3 +118,19 @@ def test_sets_survive_packing():
     back = unpack_set(pack_set(s))
     assert len(back) == len(s) and (back >> np.uint64(16) == s >> np.uint64(16)).all()
     assert len(unpack_set(b"")) == 0
+
+
+def test_limits_follow_percent():
+    import math
+
+    from domquarry.llm.near_dedup import SKETCH, limits
+
+    assert limits(85) == (18, 42, 10)
+    for percent in (60, 70, 75, 80, 90):
+        p = (100 - percent) / 200
+        *bits, trees = limits(percent)
+        for n, k in zip((64, SKETCH), bits, strict=True):
+            assert sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1, n + 1)) <= 1e-6
+        assert (1 - percent / 100) ** trees <= 1e-6
+    with pytest.raises(ValueError):
+        limits(10)
