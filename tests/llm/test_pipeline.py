@@ -41,3 +41,11 @@ def test_sql(spark, name):
     columns = sorted(got.columns)
     expected = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall()
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(expected)
+
+
+def test_near_copies_from_eighty_percent_go(spark):
+    words = [f"w{i}" for i in range(94)]
+    rows = [(i, " ".join([*words, *(f"d{i}x{j}" for j in range(10))])) for i in (1, 2)]  # 90 of 110 shingles: 0.818
+    rows += [(3, " ".join(f"o{i}" for i in range(104)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.minhash_near_dedup(spark, docs, "").collect()) == [1, 3]
