@@ -107,35 +107,54 @@ def extended(df: DataFrame, fields: str) -> T.StructType:
     return T.StructType(df.schema.fields + T._parse_datatype_string(fields).fields)
 
 
+def unused(name: str, taken) -> str:
+    """name, with as many underscores before it as no column of ``taken`` (whatever its case) has."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def crc_mod(col, n: int):
     """crc32 of an id written as text, modulo n."""
     return F.crc32(col.cast("string").cast("binary")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, per_class: int, max_chars: int, id_col: str = "doc_id") -> DataFrame:
-    """At most per_class labelled rows of each label value, drawn by hash order of the id, with their whole texts.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, per_class: int, max_chars: int | None, features=None, kind: str = "string") -> DataFrame:
+    """At most per_class labelled rows of each label value, drawn by hash order of doc_id: doc_id, x, _label.
+
+    x is the text, or what ``features`` (from a column of texts to an Arrow array of type ``kind``) makes of it in the tasks.
 
     Every label value is drawn from: with more than 64 of them, 64 * per_class rows are shared out evenly, one each at least.
-    Rows for which the Column ``allowed`` isn't true, null labels and texts beyond max_chars are no candidates.
+    A text beyond max_chars gives one window of max_chars characters, which begins where the hash of its id says; None takes
+    whole texts. Rows for which the Column ``allowed`` isn't true and null labels or texts are no candidates. An id with several
+    labels has the least of them, one with several texts that of least hash: the rows are bounded by ids.
     Ids are drawn before any text is read.
     """
+    id_col = "doc_id"
     limit_batches(docs.sparkSession)
     ids = labels.select(F.col(id_col), F.col(label).cast("string").alias("_label")).where(F.col("_label").isNotNull() & F.col(id_col).isNotNull() & allowed)
-    ids = ids.dropDuplicates([id_col])
-    values = [r[0] for r in ids.groupBy("_label").count().orderBy(F.desc("count"), "_label").collect()]  # a row a label value
-    per_class = max(1, min(per_class, 64 * per_class // max(1, len(values))))
-    drawn = None
-    for v in values[:64]:
-        part = ids.where(F.col("_label") == v).orderBy(F.xxhash64(id_col), id_col).limit(per_class)
-        drawn = part if drawn is None else drawn.unionByName(part)
-    if drawn is None:
-        drawn = ids.limit(0)
-    if len(values) > 64:  # one window over the ids of the rest, not a plan a value
-        rest = Window.partitionBy("_label").orderBy(F.xxhash64(id_col), id_col)
-        rest = ids.where(~F.col("_label").isin(values[:64])).withColumn("_n", F.row_number().over(rest)).where(F.col("_n") <= per_class).drop("_n")
-        drawn = drawn.unionByName(rest)
+    ids = ids.groupBy(id_col).agg(F.min("_label").alias("_label"))
+    values = ids.agg(F.count_distinct("_label")).first()[0]
+    per_class = max(1, min(per_class, 64 * per_class // max(1, values)))
+    # the rank is limited in each task before rows are exchanged, so a label that most rows bear is no burden
+    rank = F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64(id_col), id_col))
+    drawn = ids.withColumn("_n", rank).where(F.col("_n") <= per_class).drop("_n")
+    text = F.col("text")
+    if max_chars is not None:
+        begin = F.pmod(F.xxhash64(id_col), F.greatest(F.length("text") - max_chars + 1, F.lit(1))).cast("int") + 1
+        text = F.when(F.length("text") > max_chars, F.substring("text", begin, F.lit(max_chars))).otherwise(F.col("text"))
     # 64 * per_class ids of 8 bytes, or one a label value: the broadcast is bounded by these
-    return docs.select(id_col, "text").where(F.length("text") <= max_chars).join(F.broadcast(drawn), id_col).select(id_col, "text", "_label")
+    found = docs.select(id_col, "text").where(F.col("text").isNotNull()).join(F.broadcast(drawn), id_col)
+    found = found.select(id_col, "_label", F.xxhash64("text").alias("h"), text.alias("x"))
+    if features is not None:
+
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), features(batch.column(3))], [id_col, "_label", "h", "x"])
+
+        found = found.mapInArrow(tidy(run), extended(found.drop("x"), f"x {kind}"))
+    return found.groupBy(id_col, "_label").agg(F.min(F.struct("h", "x")).alias("t")).select(id_col, F.col("t.x").alias("x"), "_label")
 
 
 def as_binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:

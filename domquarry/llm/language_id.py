@@ -4,8 +4,10 @@ Each language has a codeword of BITS signs, chosen to differ in many places. For
 n-grams (of 1 to 4 bytes of words, hashed) predicts the sign; decoding weighs each bit's logistic loss and takes the codeword of
 least total. ``ambiguous`` marks texts whose best two codewords are near.
 
-Training rows are a bounded sample of every language: PER_LANGUAGE rows of a language at most, by hash order of ids, MAX_CHARS
-characters each at most; beyond 64 languages, 64 * PER_LANGUAGE rows are shared out evenly. Prediction reads every whole text.
+Training rows are a bounded sample of every language: PER_LANGUAGE rows of a language at most, by hash order of ids; beyond 64
+languages, 64 * PER_LANGUAGE rows are shared out evenly. Of texts beyond MAX_CHARS a window of so many characters is learnt. The
+tasks make their n-gram shares; only these come to the driver, sparse, and training expands BATCH rows at a time, in STEPS steps
+whatever the number of languages. Prediction reads every whole text.
 
 Cases: null text or text without a letter is ``und`` with score 0; without training rows all are ``und``; with one language
 all texts with a letter are of it.
@@ -18,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, crc_mod, extended, labelled_sample, tidy
+from .common import as_binary, crc_mod, extended, labelled_sample, tidy, unused
 from .ngrams import LETTERS, sums, word_slices
 
 BITS, SIZES, BUCKETS = 15, (1, 2, 3, 4), 1 << 13
-PER_LANGUAGE, MAX_CHARS = 400, 20_000
-STEPS, RATE, SCALE = 150, 0.05, 20.0
+PER_LANGUAGE, MAX_CHARS = 400, 4_000
+STEPS, BATCH, RATE, SCALE = 400, 256, 0.03, 20.0
 MARGIN = 0.2
 
 
@@ -88,47 +90,69 @@ def has_letter(text: bytes) -> bool:
     return not text.isascii() and any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
-def _features(texts: list[str]) -> np.ndarray:
-    x = np.zeros((len(texts), BUCKETS), np.float32)
-    for a, b, w in word_slices(pa.array(texts, pa.string()), LETTERS):
+def _shares(column: pa.Array) -> pa.Array:
+    """Of each text its buckets (16 bits each) and their shares among its n-grams (32 bits each), as bytes."""
+    out = []
+    for a, b, w in word_slices(column, LETTERS):
         bucket, first = w.ngrams(SIZES, BUCKETS, False)
         for i in range(b - a):
             places = w.which[w.first[i] : w.first[i + 1]]
             n = first[places + 1] - first[places]
             src = np.repeat(first[places] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            x[a + i] = np.bincount(bucket[src], minlength=BUCKETS) / max(1, len(src))
+            count = np.bincount(bucket[src], minlength=BUCKETS)
+            at = np.flatnonzero(count)
+            out.append(at.astype(np.uint16).tobytes() + (count[at] / max(1, len(src))).astype(np.float32).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def _dense(shares: list[bytes]) -> np.ndarray:
+    x = np.zeros((len(shares), BUCKETS), np.float32)
+    for row, raw in zip(x, shares, strict=True):
+        n = len(raw) // 6
+        row[np.frombuffer(raw, np.uint16, n)] = np.frombuffer(raw[2 * n :], np.float32)
     return x
 
 
-def train(texts: list[str], languages: list[str]) -> CodeModel:
+def train(shares: list[bytes], languages: list[str]) -> CodeModel:
+    """shares: of texts, as _shares gives them."""
     names = sorted(set(languages))
     if not names:
         return CodeModel([], np.zeros((0, BITS)), np.zeros((BUCKETS, BITS), np.float32), np.zeros(BITS))
     code = codewords(len(names))
-    y = code[[names.index(x) for x in languages]].astype(np.float32)
-    x = _features(texts) * SCALE
+    number = {v: i for i, v in enumerate(names)}
+    label = np.array([number[v] for v in languages])
+    y = code[label].astype(np.float32)
+    weight = (len(label) / (len(names) * np.bincount(label)[label])).astype(np.float32)  # languages weigh alike
     w = np.zeros((BUCKETS, code.shape[1]), np.float32)
     b = np.zeros(code.shape[1], np.float32)
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
-    share = np.array([1.0 / languages.count(v) for v in names], np.float32)[[names.index(v) for v in languages]]
-    share = (share / share.sum())[:, None]
+    mean_w, mean_b, tail = np.zeros_like(w), np.zeros_like(b), STEPS // 2
+    rng, order = np.random.default_rng(5), np.zeros(0, np.int64)
     for t in range(1, STEPS + 1):
-        g = -y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30))) * share
+        if len(order) < min(BATCH, len(label)):
+            order = np.append(order, rng.permutation(len(label)))
+        own, order = order[:BATCH], order[BATCH:]
+        x = _dense([shares[i] for i in own]) * SCALE
+        g = -y[own] / (1 + np.exp(np.clip(y[own] * (x @ w + b), -30, 30))) * (weight[own] / len(own))[:, None]
         gw, gb = x.T @ g + 1e-5 * w, g.sum(0)
         mw, mb = 0.9 * mw + 0.1 * gw, 0.9 * mb + 0.1 * gb
         vw, vb = 0.99 * vw + 0.01 * gw**2, 0.99 * vb + 0.01 * gb**2
         k, q = 1 - 0.9**t, 1 - 0.99**t
         w -= RATE * (mw / k) / (np.sqrt(vw / q) + 1e-8)
         b -= RATE * (mb / k) / (np.sqrt(vb / q) + 1e-8)
-    return CodeModel(names, code, w, b.astype(np.float64))
+        if t > tail:  # the mean of the last half of the steps is steadier than the last
+            mean_w += w / (STEPS - tail)
+            mean_b += b / (STEPS - tail)
+    return CodeModel(names, code, mean_w, mean_b.astype(np.float64))
 
 
 def fit(docs: DataFrame, allowed, lang: str = "lang") -> CodeModel:
     """Learns from rows with text and a language for which the Column ``allowed`` is true."""
     known = docs.where(F.col("text").isNotNull()).select("doc_id", lang)
-    rows = labelled_sample(docs, known, lang, allowed, PER_LANGUAGE, MAX_CHARS).collect()  # 64 * PER_LANGUAGE rows, or one a language
+    # 64 * PER_LANGUAGE rows, or one a language, of 6 bytes an n-gram: some 8 kB each
+    rows = labelled_sample(docs, known, lang, allowed, PER_LANGUAGE, MAX_CHARS, _shares, "binary").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], [r["_label"] for r in rows])
+    return train([bytes(r["x"]) for r in rows], [r["_label"] for r in rows])
 
 
 def predict(docs: DataFrame, model: CodeModel, keep: list[str]) -> DataFrame:
@@ -142,7 +166,7 @@ def predict(docs: DataFrame, model: CodeModel, keep: list[str]) -> DataFrame:
             columns = [batch.column(i) for i in range(1, batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score), pa.array(lead < MARGIN)], [*keep, "lang_pred", "score", "ambiguous"])
 
-    passed = docs.select(F.col("text").alias("_text"), *keep)
+    passed = docs.select(F.col("text").alias(unused("_text", keep)), *keep)
     return passed.mapInArrow(tidy(run), extended(docs.select(*keep), "lang_pred string, score double, ambiguous boolean"))
 
 

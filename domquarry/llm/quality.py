@@ -5,8 +5,8 @@ features in turn; each adds to the feature's lookup table a tree of two splits f
 features whose coarse grids explain most of what is left get tables of their own, boosted the same way. A score is the logistic of the
 bias plus one table entry a feature and pair.
 
-Training rows are a bounded sample: PER_CLASS rows of each label, by hash order of ids, MAX_CHARS characters each at most; only
-their features come to the driver. Scoring reads every whole text.
+Training rows are a bounded sample: PER_CLASS rows of each label, by hash order of ids, with their whole texts; only their
+features come to the driver. Scoring reads every whole text.
 
 Cases: null or empty text has the features of an empty text and is scored; without labels of both kinds every score is the
 share of label 1 (0.5 without any).
@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_mod, extended, labelled_sample, lut, slices, span_hash, tidy, word_spans
+from .common import LOWER, crc_mod, extended, labelled_sample, lut, slices, span_hash, tidy, unused, word_spans
 
 BINS, COARSE, PAIRS = 32, 8, 10
 ROUNDS, PAIR_ROUNDS, RATE = 120, 60, 0.15
-PER_CLASS, MAX_CHARS = 4000, 200_000
+PER_CLASS = 4000
 THRESHOLD = 0.3
 
 FEATURES = (
@@ -207,22 +207,19 @@ def train(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
     return model
 
 
-def _feature_rows(batches):
-    for batch in batches:
-        x = features(batch.column(0))
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "_label", "x"])
+def _feature_lists(column: pa.Array) -> pa.Array:
+    return pa.array(list(features(column)), pa.list_(pa.float64()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed) -> AdditiveModel:
     """Learns from the labelled rows for which the Column ``allowed`` (over labels' columns) is true."""
-    sample = labelled_sample(docs, labels, "quality", allowed, PER_CLASS, MAX_CHARS)
-    rows = sample.select("text", F.col("doc_id").cast("long"), "_label").mapInArrow(tidy(_feature_rows), "doc_id long, _label string, x array<double>").collect()
+    rows = labelled_sample(docs, labels, "quality", allowed, PER_CLASS, None, _feature_lists, "array<double>").collect()  # 2 * PER_CLASS rows of features
     rows.sort(key=lambda r: r["doc_id"])
     return train(np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([int(r["_label"]) for r in rows], np.float64))
 
 
 def score(docs: DataFrame, model: AdditiveModel, keep: list[str], name: str = "score") -> DataFrame:
-    """Columns ``keep`` of docs with the probability of label 1."""
+    """Columns ``keep`` of docs, of other names than ``name``, with the probability of label 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -231,7 +228,7 @@ def score(docs: DataFrame, model: AdditiveModel, keep: list[str], name: str = "s
             s = model.scores(features(batch.column(0)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), pa.array(s)], [*keep, name])
 
-    passed = docs.select(F.col("text").alias("_text"), *keep)
+    passed = docs.select(F.col("text").alias(unused("_text", keep)), *keep)
     return passed.mapInArrow(tidy(run), extended(docs.select(*keep), f"{name} double"))
 
 
@@ -250,4 +247,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score under THRESHOLD; the model learns from the same documents' labels."""
     model = fit(docs, labels, ~held_out())
-    return score(docs, model, docs.columns, "_quality").where(F.col("_quality") >= THRESHOLD).select(*docs.columns)
+    name = unused("_quality", docs.columns)
+    return score(docs, model, docs.columns, name).where(F.col(name) >= THRESHOLD).select(*docs.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import extended, limit_batches, materialize, tidy
+from .common import extended, limit_batches, materialize, tidy, unused
 
 #: Lengths that one task sums in order; buckets themselves are summed over max length / BUCKET rows.
 BUCKET = 4096
@@ -31,7 +31,7 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None, keep: tuple[str
             yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens.count_rows(batch.column(0), e), pa.int64())], [*keep, "n_tokens"])
 
     limit_batches(docs.sparkSession)
-    passed = docs.select(F.col("text").alias("_text"), *keep)
+    passed = docs.select(F.col("text").alias(unused("_text", keep)), *keep)
     return passed.mapInArrow(tidy(run), extended(docs.select(*keep), "n_tokens long"))
 
 

@@ -1,12 +1,14 @@
 """Toxicity: bags of subwords averaged into a linear softmax, embeddings and softmax trained jointly in numpy.
 
 A word is the mean of the embeddings of its character n-grams (and of itself), so unseen misspellings share vectors with known
-words. A text is read in windows of WINDOW words, each the average of its words; the text's score is that of its highest window,
-so that a few words count in a long text. Training takes WHOLE_STEPS steps on averages of whole texts, then STEPS steps in which
-the window that now scores highest stands for its text; embeddings and softmax move together.
+words. A text is read in all windows of WINDOW consecutive words, overlapping, each the average of its words; the text's score is
+that of its highest window, so that a few words count in a long text, wherever they stand. Training takes WHOLE_STEPS steps on
+averages of whole texts, then STEPS steps in which the window that now scores highest (of equal ones the first) stands for its
+text; embeddings and softmax move together. Words' logits are multiples of 2 ** -24, so sums over windows are exact and a text's
+score is the same whatever stands beside it in a batch.
 
-Training rows are a bounded sample: PER_CLASS rows of each label at most, drawn by hash order of their ids, of at most MAX_CHARS
-characters each. Scoring reads every whole text. The model is BUCKETS * DIM numbers, whatever the corpus.
+Training rows are a bounded sample: PER_CLASS rows of each label at most, drawn by hash order of their ids; of texts beyond
+MAX_CHARS a window of so many characters. Scoring reads every whole text. The model is BUCKETS * DIM numbers, whatever the corpus.
 
 Cases: null or empty text, or one without words, scores as an empty bag (the softmax's bias); without labels of both kinds
 every score is the share of label 1 (0.5 without any).
@@ -19,25 +21,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, extended, labelled_sample, tidy
-from .ngrams import MARKED, means, sums, word_slices
+from .common import crc_mod, extended, labelled_sample, slices, tidy, unused
+from .ngrams import MARKED, Words, lower, means, word_slices
 
-WINDOW, SIZES, BUCKETS, DIM = 8, (3, 4, 5), 1 << 17, 4
+WINDOW, SIZES, BUCKETS, DIM = 2, (3, 4, 5), 1 << 17, 4
 PER_CLASS, MAX_CHARS = 1200, 8_000
-WHOLE_STEPS, STEPS, RATE, SOFT_RATE, BIAS_RATE, DAMP, DECAY = 10, 70, 2.0, 0.01, 1.0, 0.1, 1e-3
-#: N-grams of fewer training texts are left out.
-LEAST_TEXTS = 8
+WHOLE_STEPS, STEPS, RATE, SOFT_RATE, BIAS_RATE, DAMP, DECAY = 10, 150, 2.0, 0.01, 1.0, 0.3, 1e-3
+UNIT = float(1 << 24)
 THRESHOLD = 0.7
 
 
-def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows of words begin (one more entry than windows), and where each row's windows begin; an empty row has one."""
-    count = np.diff(first)
-    n = np.maximum(1, -(-count // WINDOW))
-    row = np.repeat(np.arange(len(count)), n)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    begin = first[row] + np.minimum(at * WINDOW, count[row])
-    return np.append(begin, first[-1]), np.concatenate([[0], np.cumsum(n)])
+def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and word after the last of all windows, and where each row's windows begin; a row of at most WINDOW words has one."""
+    n = np.maximum(1, np.diff(first) - WINDOW + 1)
+    own = np.concatenate([[0], np.cumsum(n)])
+    row = np.repeat(np.arange(len(n)), n)
+    begin = np.arange(own[-1]) - own[row] + first[row]
+    return begin, np.minimum(begin + WINDOW, first[row + 1]), own
+
+
+def _running(word: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Sums of the words' logits up to each place, exact in units of 1 / UNIT."""
+    out = np.zeros(len(which) + 1, np.int64)
+    np.cumsum(np.rint(word * UNIT).astype(np.int64)[which], out=out[1:])
+    return out
+
+
+def _averages(upto: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (upto[end] - upto[begin]) / (UNIT * np.maximum(end - begin, 1))
 
 
 def _sigmoid(x):
@@ -53,63 +64,42 @@ class SubwordModel:
         out = np.zeros(len(column))
         for a, b, w in word_slices(column, MARKED):
             bucket, first = w.ngrams(SIZES, BUCKETS, True)
-            word = means(self.u[bucket], first)
-            begin, rows = windows(w.first)
-            logit = self.bias + WINDOW * means(word[w.which], begin)
-            out[a:b] = _sigmoid(np.maximum.reduceat(logit, rows[:-1]))
+            begin, end, own = windows(w.first)
+            logit = self.bias + WINDOW * _averages(_running(means(self.u[bucket], first), w.which), begin, end)
+            out[a:b] = _sigmoid(np.maximum.reduceat(logit, own[:-1]))
         return out
 
 
-def _without_rare(part, common: np.ndarray):
-    """The part with n-grams of common buckets only, and each word's number of all its n-grams."""
-    a, b, bucket, first, *rest = part
-    keep = common[bucket]
-    upto = np.concatenate([[0], np.cumsum(keep)])
-    return a, b, bucket[keep], upto[first], *rest, np.maximum(np.diff(first), 1)
-
-
 def train(texts: list[str | None], y: np.ndarray, seed: int = 7) -> SubwordModel:
     if len(texts) == 0 or y.min() == y.max():
         share = float(np.clip(y.mean(), 0.02, 0.98)) if len(texts) else 0.5
         return SubwordModel(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    parts = []  # a slice of rows each: buckets, words' n-grams, places' words, windows
-    for a, b, w in word_slices(pa.array(texts, pa.string()), MARKED):
-        bucket, first = w.ngrams(SIZES, BUCKETS, True)
-        parts.append((a, b, bucket, first, w.which, w.first, *windows(w.first)))
-    # n-grams of few texts are left out, and embeddings begin at 0: such n-grams add nothing to any score
-    seen = np.zeros(BUCKETS)
-    for a, b, bucket, first, which, rows, _, _ in parts:
-        for i in range(b - a):
-            words = np.unique(which[rows[i] : rows[i + 1]])
-            n = first[words + 1] - first[words]
-            seen[np.unique(bucket[np.repeat(first[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())])] += 1
-    parts = [_without_rare(p, seen >= LEAST_TEXTS) for p in parts]
+    _, _, data, off = next(slices(lower(pa.array(texts, pa.large_string())), 1 << 62))
+    w = Words(data, off, MARKED)
+    bucket, first = w.ngrams(SIZES, BUCKETS, True)
+    grams, (begin, end, own) = np.diff(first), windows(w.first)
+    of = np.repeat(np.arange(len(grams)), grams)
+    # embeddings begin at 0: n-grams that no training text holds add nothing to any score
     soft = np.random.default_rng(seed).normal(0, 1, DIM)
     e, soft, bias = np.zeros((BUCKETS, DIM), np.float32), soft / np.linalg.norm(soft), 0.0
     me, ve, ms, mb = np.zeros_like(e), np.zeros_like(e), np.zeros_like(soft), 0.0
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     for t in range(WHOLE_STEPS + STEPS):
-        u, gu, gb = (e @ soft).astype(np.float32), np.zeros(BUCKETS), 0.0
-        for a, b, bucket, first, which, rows, begin, own, full in parts:
-            bounds = rows if t < WHOLE_STEPS else begin  # whole texts first, then each text's highest window
-            size = np.diff(bounds)
-            mean = WINDOW * means((sums(u[bucket], first) / full)[which], bounds)
-            if t < WHOLE_STEPS:
-                top, logit = np.arange(b - a), bias + mean
-            else:
-                best = np.maximum.reduceat(mean, own[:-1])
-                at = np.flatnonzero(mean == np.repeat(best, np.diff(own)))
-                top = at[np.unique(np.searchsorted(own, at, "right"), return_index=True)[1]]
-                logit = bias + best
-            g = (_sigmoid(logit) - y[a:b]) * share[a:b]
-            gb += g.sum()
-            by = np.zeros(len(size))
-            by[top] = g * WINDOW / np.maximum(size[top], 1)
-            word = np.bincount(which, np.repeat(by, size), len(first) - 1) / full
-            gu += np.bincount(bucket, np.repeat(word, np.diff(first)), BUCKETS)
+        upto = _running(means((e @ soft).astype(np.float32)[bucket], first), w.which)
+        lo, hi = w.first[:-1], w.first[1:]  # whole texts first, then each text's highest window
+        if t >= WHOLE_STEPS:
+            mean = _averages(upto, begin, end)
+            at = np.flatnonzero(mean == np.repeat(np.maximum.reduceat(mean, own[:-1]), np.diff(own)))
+            top = at[np.searchsorted(at, own[:-1])]
+            lo, hi = begin[top], end[top]
+        g = (_sigmoid(bias + WINDOW * _averages(upto, lo, hi)) - y) * share
+        step, n = g * WINDOW / np.maximum(hi - lo, 1), len(w.which) + 1
+        by = np.cumsum(np.bincount(lo, step, n) - np.bincount(hi, step, n))[:-1]
+        word = np.bincount(w.which, by, len(grams)) / np.maximum(grams, 1)
+        gu = np.bincount(bucket, word[of], BUCKETS)
         ge = np.outer(gu, soft).astype(np.float32)
         me, ve = 0.8 * me + 0.2 * ge, 0.9 * ve + 0.1 * ge**2
-        ms, mb = 0.8 * ms + 0.2 * (e.T @ gu), 0.8 * mb + 0.2 * gb
+        ms, mb = 0.8 * ms + 0.2 * (e.T @ gu), 0.8 * mb + 0.2 * g.sum()
         # what many texts agree on takes a full step, what few say hardly any
         root = np.sqrt(ve)
         e = e * (1 - DECAY) - RATE * me / (root + DAMP * root.max() + 1e-12)
@@ -121,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed) -> SubwordModel:
     """Learns from the labelled rows for which the Column ``allowed`` (over labels' columns) is true."""
     rows = labelled_sample(docs, labels, "toxic", allowed, PER_CLASS, MAX_CHARS).collect()  # 2 * PER_CLASS rows at most
     rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], np.array([int(r["_label"]) for r in rows], np.int64))
+    return train([r["x"] for r in rows], np.array([int(r["_label"]) for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: SubwordModel, keep: list[str]) -> DataFrame:
@@ -133,7 +123,7 @@ def score(docs: DataFrame, model: SubwordModel, keep: list[str]) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), pa.array(model.scores(batch.column(0)))], [*keep, "score"])
 
-    passed = docs.select(F.col("text").alias("_text"), *keep)
+    passed = docs.select(F.col("text").alias(unused("_text", keep)), *keep)
     return passed.mapInArrow(tidy(run), extended(docs.select(*keep), "score double"))
 
 

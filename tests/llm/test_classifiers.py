@@ -4,9 +4,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from texts import EDGE_TEXTS, prose
 
 from domquarry.llm import language_id, quality, toxicity
+from domquarry.llm.common import span_hash
+from domquarry.llm.ngrams import LETTERS, MARKED
 
 BAD = ["grobblenak", "snarfulous", "wicketrude"]
 
@@ -49,6 +52,70 @@ def test_misspellings_share_ngrams():
     assert (s[1:] > s[0] + 0.1).all()
 
 
+def test_toxicity_wherever_words_stand():
+    """Words put in front move no prediction, and what else is in a batch moves no score."""
+    rows = toxic_rows(400)
+    m = toxicity.train([t for _, t, _ in rows], np.array([y for *_, y in rows]))
+    texts = [t for _, t, _ in toxic_rows(200, 1000)]
+    base = m.scores(pa.array(texts))
+    assert (base == np.concatenate([m.scores(pa.array([t])) for t in texts])).all()
+    for k in range(1, 8):
+        moved = m.scores(pa.array([f"{prose(7, k)} {t}" for t in texts]))
+        assert ((moved >= toxicity.THRESHOLD) != (base >= toxicity.THRESHOLD)).mean() < 0.02
+
+
+def plain_ngrams(word, sizes):
+    """A word's n-grams in bytes, plainly."""
+    raw = b"<" + word + b">"
+    return [raw[i : i + k] for k in sizes for i in range(len(raw) - k + 1)]
+
+
+def bucket_of(gram, buckets, seed=0):
+    data = np.frombuffer(gram, np.uint8)
+    return int(span_hash(data, np.array([0]), np.array([len(data)]), seed)[0] & np.uint64(buckets - 1))
+
+
+def words_by(text, marked):
+    out, word = [], b""
+    for byte in (text or "").lower().encode() + b" ":
+        if byte != 0x20 and marked[byte]:
+            word += bytes([byte])
+        elif word:
+            out.append(word)
+            word = b""
+    return out
+
+
+def test_toxicity_by_brute_force():
+    """Every score again, word by word and window by window."""
+    rows = toxic_rows(120)
+    m = toxicity.train([t for _, t, _ in rows], np.array([y for *_, y in rows]))
+    texts = [*EDGE_TEXTS, *(t for _, t, _ in toxic_rows(30, 500))]
+    for text, got in zip(texts, m.scores(pa.array(texts)), strict=True):
+        logits = []
+        for w in words_by(text, MARKED):
+            of = [bucket_of(g, toxicity.BUCKETS) for g in plain_ngrams(w, toxicity.SIZES)] + [bucket_of(b"<" + w + b">", toxicity.BUCKETS, 1)]
+            logits.append(sum(float(m.u[i]) for i in of) / len(of))
+        size = min(toxicity.WINDOW, max(1, len(logits)))
+        best = max(sum(logits[i : i + size]) / size for i in range(max(1, len(logits) - size + 1)))
+        assert abs(got - 1 / (1 + np.exp(-(m.bias + toxicity.WINDOW * best)))) < 1e-5
+
+
+def test_languages_by_brute_force():
+    texts = [sample(x, i) for i, x in enumerate(list(LANGUAGES) * 20)]
+    m = language_id.train(language_id._shares(pa.array(texts)).to_pylist(), list(LANGUAGES) * 20)
+    asked = [*EDGE_TEXTS, *(sample(x, i + 999, 5) for i, x in enumerate(list(LANGUAGES) * 5))]
+    lang, score, _ = m.predict(pa.array(asked))
+    for text, got, s in zip(asked, lang, score, strict=True):
+        grams = [bucket_of(g, language_id.BUCKETS) for w in words_by(text, LETTERS) for g in plain_ngrams(w, language_id.SIZES)]
+        if not any(c.isalpha() for c in text or ""):
+            assert (got, s) == ("und", 0)
+            continue
+        f = m.bias + language_id.SCALE * sum(m.table[g].astype(float) for g in grams) / len(grams)
+        like = np.exp([-sum(np.logaddexp(0, -a * c) for a, c in zip(f, code, strict=True)) for code in m.code])
+        assert got == m.languages[int(like.argmax())] and abs(s - like.max() / like.sum()) < 1e-4
+
+
 def test_toxicity_without_labels(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in toxicity.toxicity(docs_of([(1, "a"), (2, None)]), none).collect()] == [0.5, 0.5]
@@ -111,6 +178,7 @@ def test_quality(spark, docs_of):
     test = [(i, y) for i, _, y in rows if held(i, 5, 0)]
     assert all(by[i]["held_out"] for i, _ in test)
     assert np.mean([by[i]["predicted"] == y for i, y in test]) > 0.97
+    docs = docs.withColumn("_quality", F.lit(2)).withColumn("_text", F.lit("q"))
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in out if r["predicted"]}
@@ -133,9 +201,17 @@ def test_tables_are_additive():
     assert np.allclose(by_hand, m.logits(x))
 
 
-def test_every_label_value_is_drawn_from(spark):
-    from pyspark.sql import functions as F
+def test_drawn_rows_are_bounded_and_ties_are_settled(spark):
+    from domquarry.llm.common import labelled_sample
+
+    # one id on many rows gives one row; of its labels the least counts; long texts give a window, none is left out
+    docs = spark.createDataFrame([(1, f"copy {i}") for i in range(200)] + [(2, "abc " * 500), (3, None), (4, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (4, None)], "doc_id long, toxic int")
+    got = {(r["doc_id"], r["_label"]): r["x"] for r in labelled_sample(docs, labels, "toxic", F.lit(True), 10, 100).collect()}
+    assert set(got) == {(1, "0"), (2, "1")} and got[1, "0"].startswith("copy ") and len(got[2, "1"]) == 100 and got[2, "1"] in "abc " * 500
 
+
+def test_every_label_value_is_drawn_from(spark):
     from domquarry.llm.common import labelled_sample
 
     rows = [(i, f"text {i}", f"l{i % 70:02d}") for i in range(700)] + [(700 + i, f"text {700 + i}", "l00") for i in range(40)]
