@@ -2,16 +2,16 @@
 
 A sentence ends after ``.``, ``!`` or ``?`` before white space, and at each line end; it is compared by its words
 (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, A-Z lower-cased) and is none without words. A run that stands elsewhere too loses all its
-places but the first (least doc_id, then least place). Runs of a document that overlap or touch are one span; spans of at least
-MIN_WORDS words are removed, shorter ones are chance and stay. The same holds for a passage that one document repeats.
+places but the first (least doc_id, then least place), however short it is. The same holds for a run that one document repeats.
 A document of fewer sentences than a run is one run.
 
 A passage is PASSAGE consecutive words of a document, whatever stands between them. Of each PASSAGE - GRAM + 1 consecutive
 GRAM-word runs those of least hash are its anchors, so equal passages have equal anchors. Around anchors that stand twice all
-passages are hashed and joined; their words go from all places but the first. Places wholly in removed sentence spans don't count.
-Words that go with sentence spans aside, fewer than MIN_WORDS consecutive ones stay: a passage keeps less than that at either end
-of such a span. A cut that begins or ends with a
-sentence takes the signs around its words too. n_removed and spans count sentences that go whole or in part.
+passages are hashed and joined; their words go from all places but the first. Places wholly in removed runs of sentences don't
+count. A cut that begins or ends with a sentence takes the signs around its words too. n_removed and spans count sentences that
+go whole or in part.
+
+Runs and passages are told apart by 96 bits: two polynomials of different bases over the hashes of their words.
 
 Cases: null or empty text has no sentences and stays as it is; a row without doc_id comes after all others; rows that repeat a
 doc_id count as one document whose row with the same text comes first, so equal rows are all kept; an empty table gives none.
@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, drop_shuffles, extended, lut, materialize, mix, powers, release, slices, span_hash, tidy, word_spans
 
-RUN, MIN_WORDS = 2, 20
+RUN = 4
 PASSAGE, GRAM = 51, 20
-_P = 0x9E3779B97F4A7C15
+#: Bases of the two polynomials.
+_P = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _STEP = np.random.default_rng(20240301).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -42,23 +43,30 @@ class _Words:
     def __init__(self, data: np.ndarray, off: np.ndarray):
         low = LOWER[data]
         self.start, self.end, self.first = word_spans(low, off, lut("alnum"))
-        # words weighted by place: powers of one odd number, taken from the running sum over the slice
+        # words weighted by place: powers of an odd number, taken from the running sum over the slice
         self.n = len(self.start)
-        self._sum = np.zeros(self.n + 1, np.uint64)
-        if self.n:
-            np.cumsum(span_hash(low, self.start, self.end) * powers(_P, self.n + 1)[: self.n], out=self._sum[1:])
+        self._words = span_hash(low, self.start, self.end)
+        self._sums: dict[int, np.ndarray] = {}
+
+    def hashes(self, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+        """64-bit hashes of the words a to b, b exclusive; which: of two that have nothing to do with each other."""
+        if which not in self._sums:
+            self._sums[which] = out = np.zeros(self.n + 1, np.uint64)
+            np.cumsum((mix(self._words ^ np.uint64(_P[1])) if which else self._words) * powers(_P[which], self.n + 1)[: self.n], out=out[1:])
+        upto = self._sums[which]
+        return mix((upto[b] - upto[a]) * powers(pow(_P[which], -1, 1 << 64), self.n + 1)[a] ^ (b - a).astype(np.uint64))
 
-    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the words a to b, b exclusive."""
-        return mix((self._sum[b] - self._sum[a]) * powers(pow(_P, -1, 1 << 64), self.n + 1)[a] ^ (b - a).astype(np.uint64))
+    def keys(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """64 and 32 bits of the words a to b."""
+        return self.hashes(a, b).view(np.int64), (self.hashes(a, b, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def sentences(data: np.ndarray, off: np.ndarray, words: _Words):
-    """Of a slice's rows: start and end bytes, first words, words and 64-bit hashes of sentences with words, and where each row's begin."""
+    """Of a slice's rows: start and end bytes, first words and words of sentences with words, and where each row's begin."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return z, z, z, z, np.zeros(len(off), np.int64)
     ws = words.start
     brk = np.zeros(n + 1, bool)  # a sentence begins here
     brk[0] = brk[off[off < n]] = True
@@ -69,7 +77,7 @@ def sentences(data: np.ndarray, off: np.ndarray, words: _Words):
     a, b = np.searchsorted(ws, begin), np.searchsorted(ws, end)
     has = b > a
     begin, end, a, b = begin[has], end[has], a[has], b[has]
-    return begin, end, a, b - a, words.hashes(a, b), np.searchsorted(begin, off)
+    return begin, end, a, b - a, np.searchsorted(begin, off)
 
 
 def _bounds(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -112,56 +120,58 @@ def anchors(words: _Words, gone: np.ndarray | None = None) -> tuple[np.ndarray,
     return row[at], at - words.first[row[at]], h[at].view(np.int64)
 
 
-def runs(h: np.ndarray, first: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, number of the first sentence and two hashes of each run."""
+def runs(h: np.ndarray, second: np.ndarray, first: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number of the first sentence and 64 and 32 bits of each run; h and second: of sentences, two hashes each."""
     count = np.diff(first)
     m = np.where(count >= run, count - run + 1, np.minimum(count, 1))
     row = np.repeat(np.arange(len(count)), m)
     at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
     size = np.minimum(run, count)[row]
-    x = np.zeros(len(row), np.uint64)
+    x, y = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
     for j in range(run):
         ok = j < size
-        x[ok] += h[(first[row] + at)[ok] + j] * _STEP[j % 64]
-    x ^= size.astype(np.uint64)
-    return row, at, mix(x).view(np.int64), (mix(x ^ np.uint64(0x5555AAAA5555AAAA)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        own = (first[row] + at)[ok] + j
+        x[ok] += h[own] * _STEP[2 * j % 64]
+        y[ok] += second[own] * _STEP[(2 * j + 1) % 64]
+    x, y = mix(x ^ size.astype(np.uint64)), mix(y ^ size.astype(np.uint64))
+    return row, at, x.view(np.int64), (y >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _gone_spans(listed: list[int] | None, words: np.ndarray, run: int, min_words: int) -> list[tuple[int, int]]:
-    """A row's spans of sentences to remove; listed: where runs begin, words: of its sentences."""
+def _gone_spans(listed: list[int] | None, n: int, run: int) -> list[tuple[int, int]]:
+    """A row's spans of its n sentences to remove; listed: where runs begin."""
     if not listed:
         return []
-    hit = np.zeros(len(words) + 2, bool)
+    hit = np.zeros(n + 2, bool)
     for i in listed:
-        hit[i + 1 : min(i + run, len(words)) + 1] = True
-    return [(s, t) for s, t in _bounds(hit) if words[s:t].sum() >= min_words]
+        hit[i + 1 : min(i + run, n) + 1] = True
+    return _bounds(hit)
 
 
-def _gone_words(data: np.ndarray, off: np.ndarray, w: _Words, listed: list, run: int, min_words: int) -> np.ndarray:
+def _gone_words(data: np.ndarray, off: np.ndarray, w: _Words, listed: list, run: int) -> np.ndarray:
     """Whether each word of a slice is in a removed span."""
     gone = np.zeros(w.n, bool)
     if any(listed):
-        _, _, head, words, _, first = sentences(data, off, w)
+        _, _, head, words, first = sentences(data, off, w)
         for r, at in enumerate(listed):
             lo, hi = first[r], first[r + 1]
-            for s, t in _gone_spans(at, words[lo:hi], run, min_words):
+            for s, t in _gone_spans(at, hi - lo, run):
                 gone[head[lo + s] : head[lo + t - 1] + words[lo + t - 1]] = True
     return gone
 
 
-def _anchors_of(run: int, min_words: int):
+def _anchors_of(run: int):
     def go(batches):
         for batch in batches:
             ids, listed = batch.column(1), batch.column(2).to_pylist()
             for a, b, data, off in slices(batch.column(0)):
                 w = _Words(data, off)
-                row, at, h = anchors(w, _gone_words(data, off, w, listed[a:b], run, min_words))
+                row, at, h = anchors(w, _gone_words(data, off, w, listed[a:b], run))
                 yield pa.RecordBatch.from_arrays([pa.array(h), ids.slice(a, b - a).take(pa.array(row)), pa.array(at.astype(np.int32))], ["x", "doc_id", "at"])
 
     return go
 
 
-def _passages_of(run: int, min_words: int):
+def _passages_of(run: int):
     """All passages that hold one of the listed anchors and aren't wholly removed."""
 
     def go(batches):
@@ -180,11 +190,10 @@ def _passages_of(run: int, min_words: int):
                 ok = at + PASSAGE <= w.first[row + 1]
                 at, row = at[ok], row[ok]
                 if len(at):
-                    ok = _open(_gone_words(data, off, w, listed[a:b], run, min_words))[at]
+                    ok = _open(_gone_words(data, off, w, listed[a:b], run))[at]
                     at, row = at[ok], row[ok]
-                h = w.hashes(at, at + PASSAGE)
-                y = (mix(h ^ np.uint64(0x5555AAAA5555AAAA)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(y), ids.slice(a, b - a).take(pa.array(row)), pa.array((at - w.first[row]).astype(np.int32))], ["x", "y", "doc_id", "at"])
+                x, y = w.keys(at, at + PASSAGE)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), ids.slice(a, b - a).take(pa.array(row)), pa.array((at - w.first[row]).astype(np.int32))], ["x", "y", "doc_id", "at"])
 
     return go
 
@@ -194,14 +203,15 @@ def _runs_of(run: int):
         for batch in batches:
             ids = batch.column(1)
             for a, b, data, off in slices(batch.column(0)):
-                *_, h, first = sentences(data, off, _Words(data, off))
-                row, at, x, y = runs(h, first, run)
+                w = _Words(data, off)
+                _, _, head, words, first = sentences(data, off, w)
+                row, at, x, y = runs(w.hashes(head, head + words), w.hashes(head, head + words, 1), first, run)
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), ids.slice(a, b - a).take(pa.array(row)), pa.array(at.astype(np.int32))], ["x", "y", "doc_id", "at"])
 
     return go
 
 
-def _remover(own: list[str], run: int, min_words: int):
+def _remover(own: list[str], run: int):
     text_at = own.index("text")
 
     def go(batches):
@@ -211,7 +221,7 @@ def _remover(own: list[str], run: int, min_words: int):
             texts, n_sentences, n_removed, spans = [], [], [], []
             for a, b, data, off in slices(column):
                 w = _Words(data, off)
-                begin, end, head, words, _, first = sentences(data, off, w)
+                begin, end, head, words, first = sentences(data, off, w)
                 raw = data.tobytes()
                 for r in range(b - a):
                     lo, hi, text = first[r], first[r + 1], raw[off[r] : off[r + 1]]
@@ -221,16 +231,15 @@ def _remover(own: list[str], run: int, min_words: int):
                         left = np.zeros(w.first[r + 1] - w.first[r] + 2, bool)  # words of repeated passages
                         for i in repeated[a + r] or ():
                             left[i + 1 : i + PASSAGE + 1] = True
-                        for s, t in _gone_spans(listed[a + r], words[lo:hi], run, min_words):
+                        for s, t in _gone_spans(listed[a + r], hi - lo, run):
                             touched[s + 1 : t + 1] = True
                             cuts.append((begin[lo + s], end[lo + t - 1]))
                             left[head[lo + s] - w.first[r] + 1 : head[lo + t - 1] + words[lo + t - 1] - w.first[r] + 1] = False
                         for s, t in _bounds(left):
-                            if t - s >= min_words:
-                                s, t = s + w.first[r], t + w.first[r]
-                                i, j = np.searchsorted(head[lo:hi], [s, t - 1], "right") - 1
-                                touched[i + 1 : j + 2] = True
-                                cuts.append((begin[lo + i] if head[lo + i] == s else w.start[s], end[lo + j] if head[lo + j] + words[lo + j] == t else w.end[t - 1]))
+                            s, t = s + w.first[r], t + w.first[r]
+                            i, j = np.searchsorted(head[lo:hi], [s, t - 1], "right") - 1
+                            touched[i + 1 : j + 2] = True
+                            cuts.append((begin[lo + i] if head[lo + i] == s else w.start[s], end[lo + j] if head[lo + j] + words[lo + j] == t else w.end[t - 1]))
                         if cuts:
                             own_spans = [{"start": s, "end": t} for s, t in _bounds(touched)]
                             out, done = [], 0
@@ -274,16 +283,16 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     return out
 
 
-def repeated_passages(docs: DataFrame, run: int, min_words: int) -> DataFrame:
+def repeated_passages(docs: DataFrame, run: int) -> DataFrame:
     """doc_id, at: first words of all passages that aren't the first of their kind. docs: a written table with _at, a row's repeated runs."""
     spark, docs = docs.sparkSession, docs.select("text", F.col("doc_id").cast("long"), "_at")
-    found = materialize(docs.mapInArrow(tidy(_anchors_of(run, min_words)), "x long, doc_id long, at int"), "passage-anchors")
+    found = materialize(docs.mapInArrow(tidy(_anchors_of(run)), "x long, doc_id long, at int"), "passage-anchors")
     twice = found.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")
     near = materialize(_lists(found.join(twice, "x"), "_grams"), "passage-near")
     release(spark, found)
     drop_shuffles(spark)
     near = _with_lists(docs, near, "inner").select("text", "doc_id", "_at", "_grams")
-    spans = materialize(near.mapInArrow(tidy(_passages_of(run, min_words)), "x long, y int, doc_id long, at int"), "passages")
+    spans = materialize(near.mapInArrow(tidy(_passages_of(run)), "x long, y int, doc_id long, at int"), "passages")
     del near
     drop_shuffles(spark)
     out = materialize(_lists(_not_first(spans, "passage-firsts"), "_words"), "passage-gone")
@@ -292,11 +301,11 @@ def repeated_passages(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     return out
 
 
-def dedup_substrings(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, run: int = RUN) -> DataFrame:
     """docs with kept_text, n_sentences, n_removed and spans (of sentences, end exclusive); own columns of these names go."""
     own = [c for c in docs.columns if c not in ("kept_text", "n_sentences", "n_removed", "spans")]
     schema = extended(docs.select(*own), "kept_text string, n_sentences long, n_removed long, spans array<struct<start:long,end:long>>")
     docs = materialize(_with_lists(docs.select(*own), _lists(repeated_runs(docs.select(*own), run), "_at")), "substring-docs")
     drop_shuffles(docs.sparkSession)
-    joined = _with_lists(docs, repeated_passages(docs, run, min_words)).select(*own, "_at", "_words")
-    return joined.mapInArrow(tidy(_remover(own, run, min_words)), schema)
+    joined = _with_lists(docs, repeated_passages(docs, run)).select(*own, "_at", "_words")
+    return joined.mapInArrow(tidy(_remover(own, run)), schema)
