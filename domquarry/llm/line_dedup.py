@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_binary, extended, materialize, tidy
+from .common import LOWER, as_binary, extended, materialize, tidy, unused
 
 BLANKS = b" \t\n\x0b\x0c\r"
 _LOWER = LOWER.tobytes()
@@ -160,9 +160,11 @@ def _filters(changes: DataFrame, old: DataFrame | None) -> DataFrame:
 class LineIndex:
     """The state of incremental line deduplication; each change gives a new index and leaves the old one as it is."""
 
-    #: Hot keys up to this number (24 bytes each, and their filters) are broadcast; beyond it keys are joined by shuffle.
+    #: Hot keys up to this number (24 bytes each) are broadcast; beyond it the lines that pass the filters are joined by shuffle.
     BROADCAST_KEYS = 1 << 18
     KEYS_A_SHARD = 1 << 15
+    #: Bytes of filters broadcast at once (some 14 million keys); with more, documents are read once for each such block of shards.
+    FILTER_BYTES = 1 << 25
 
     def __init__(self, postings: DataFrame, hot: DataFrame, filters: DataFrame, shards: int, n_hot: int, min_chars: int, min_docs: int):
         self.postings, self.hot, self.filters = postings, hot, filters
@@ -211,28 +213,62 @@ class LineIndex:
         schema = extended(docs, "kept_text string, n_lines long, n_dropped long")
         if self.n_hot <= self.BROADCAST_KEYS:
             return docs.mapInArrow(tidy(_applier(self, own)), schema)
-        drops = self._drops(docs)
-        return docs.join(drops, docs["doc_id"].eqNullSafe(drops["_doc"]), "left").select(*own, "_keys").mapInArrow(tidy(_listed_applier(own, self.min_chars)), schema)
+        doc, keys = unused("_doc", own), unused("_keys", own)
+        drops = self._drops(docs).withColumnsRenamed({"_doc": doc, "_keys": keys})
+        return docs.join(drops, docs["doc_id"].eqNullSafe(F.col(doc)), "left").select(*own, keys).mapInArrow(tidy(_listed_applier(own, self.min_chars)), schema)
+
+    def _filter_blocks(self):
+        """The filters by shard, FILTER_BYTES at a time (one filter at least)."""
+        sizes = [(r[0], r[1]) for r in self.filters.select("shard", F.length("blob")).orderBy("shard").collect()]  # a row for KEYS_A_SHARD keys
+        held, total = [], 0
+        for shard, size in [*sizes, (None, 0)]:
+            if held and (shard is None or total + size > self.FILTER_BYTES):
+                yield {r["shard"]: bytes(r["blob"]) for r in self.filters.where(F.col("shard").between(held[0], held[-1])).collect()}
+                held, total = [], 0
+            held.append(shard)
+            total += size
 
     def _drops(self, docs: DataFrame) -> DataFrame:
-        """_doc, _keys: the keys whose lines each document loses."""
-        min_chars = self.min_chars
-
-        def run(batches):
-            for batch in batches:
-                keys, owners = [], []
-                for text, doc in zip(as_binary(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                    own = {k for _, k in line_keys(text.as_py(), min_chars)}
-                    keys += own
-                    owners += [doc] * len(own)
-                k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(owners, pa.int64())], ["hi", "lo", "_doc"])
-
-        rows = docs.select("text", F.col("doc_id").cast("long")).mapInArrow(tidy(run), "hi long, lo long, _doc long")
+        """_doc, _keys: the keys whose lines each document loses. Only lines that pass the filters are exchanged."""
+        min_chars, shards = self.min_chars, self.shards
+        schema = "hi long, lo long, _doc long"
+        rows = docs.sparkSession.createDataFrame([], schema)
+
+        def passing(sent):
+            def run(batches):
+                filters = {s: CuckooFilter.of(b) for s, b in sent.value.items()}
+                for batch in batches:
+                    keys, owners = [], []
+                    for text, doc in zip(as_binary(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                        own = {k for _, k in line_keys(text.as_py(), min_chars)}
+                        keys += own
+                        owners += [doc] * len(own)
+                    k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                    at = np.flatnonzero(_maybe(filters, shards, k))
+                    yield pa.RecordBatch.from_arrays([pa.array(k[at, 0]), pa.array(k[at, 1]), pa.array(owners, pa.int64()).take(pa.array(at))], ["hi", "lo", "_doc"])
+
+            return run
+
+        for blobs in self._filter_blocks():
+            sent = docs.sparkSession.sparkContext.broadcast(blobs)
+            rows = rows.unionByName(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(tidy(passing(sent)), schema))
         lost = rows.join(self.hot, KEY).where(~F.col("_doc").eqNullSafe(F.col("keeper"))).select("_doc", F.struct(*KEY).alias("k"))
         return lost.groupBy("_doc").agg(F.collect_set("k").alias("_keys"))
 
 
+def _maybe(filters: dict[int, CuckooFilter], shards: int, k: np.ndarray) -> np.ndarray:
+    """Which of the keys (rows of hi, lo) may be hot, by the filters of their shards."""
+    out = np.zeros(len(k), bool)
+    shard = k[:, 0] % shards
+    order = np.argsort(shard, kind="stable")
+    bounds = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    for at in np.split(order, bounds[1:]) if len(k) else ():
+        f = filters.get(int(shard[at[0]]))
+        if f is not None:
+            out[at] = f.contains(k[at, 1].view(np.uint64))
+    return out
+
+
 def _clean(batch: pa.RecordBatch, own: list[str], lost: dict[int, set[int]]) -> pa.RecordBatch:
     """lost: numbers of the lines that go, by row."""
     kept, n_lines = [], []
@@ -258,7 +294,6 @@ def _applier(index: LineIndex, own: list[str]):
     def run(batches):
         hi, lo, keeper, blobs = sent.value
         filters = {s: CuckooFilter.of(bytes(b)) for s, b in blobs.items()}
-        exact = {(int(a), int(b)): int(c) for a, b, c in zip(hi, lo, keeper, strict=True)}
         for batch in batches:
             ids = batch.column(own.index("doc_id")).to_pylist()
             rows, lines, keys = [], [], []
@@ -268,15 +303,12 @@ def _applier(index: LineIndex, own: list[str]):
                     lines.append(i)
                     keys.append(key)
             k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            maybe = np.zeros(len(k), bool)
-            shard = k[:, 0] % shards
-            for s, f in filters.items():
-                at = np.flatnonzero(shard == s)
-                maybe[at] = f.contains(k[at, 1].view(np.uint64))
             lost: dict[int, set[int]] = {}
-            for i in np.flatnonzero(maybe):  # the filter says maybe; the exact table decides
-                keep = exact.get((int(k[i, 0]), int(k[i, 1])), False)
-                if keep is not False and keep != ids[rows[i]]:
+            passed = np.flatnonzero(_maybe(filters, shards, k))  # the filter says maybe; the exact table decides
+            for i, at in zip(passed.tolist(), np.searchsorted(hi, k[passed, 0]).tolist(), strict=True):
+                while at < len(hi) and hi[at] == k[i, 0] and lo[at] != k[i, 1]:
+                    at += 1
+                if at < len(hi) and hi[at] == k[i, 0] and keeper[at] != ids[rows[i]]:
                     lost.setdefault(rows[i], set()).add(lines[i])
             yield _clean(batch, own, lost)
 

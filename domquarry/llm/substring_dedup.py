@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop_shuffles, extended, lut, materialize, mix, powers, release, slices, span_hash, tidy, word_spans
+from .common import LOWER, drop_shuffles, extended, lut, materialize, mix, powers, release, slices, span_hash, tidy, unused, word_spans
 
 RUN = 4
 PASSAGE, GRAM = 51, 20
@@ -272,7 +272,8 @@ def _lists(places: DataFrame, name: str) -> DataFrame:
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame, how: str = "left") -> DataFrame:
-    return docs.join(lists, docs["doc_id"].eqNullSafe(lists["_doc"]), how).drop("_doc")
+    doc = unused("_doc", docs.columns)
+    return docs.join(lists.withColumnRenamed("_doc", doc), docs["doc_id"].eqNullSafe(F.col(doc)), how).drop(doc)
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -305,7 +306,8 @@ def dedup_substrings(docs: DataFrame, run: int = RUN) -> DataFrame:
     """docs with kept_text, n_sentences, n_removed and spans (of sentences, end exclusive); own columns of these names go."""
     own = [c for c in docs.columns if c not in ("kept_text", "n_sentences", "n_removed", "spans")]
     schema = extended(docs.select(*own), "kept_text string, n_sentences long, n_removed long, spans array<struct<start:long,end:long>>")
-    docs = materialize(_with_lists(docs.select(*own), _lists(repeated_runs(docs.select(*own), run), "_at")), "substring-docs")
+    at, words = unused("_at", own), unused("_words", own)
+    docs = materialize(_with_lists(docs.select(*own), _lists(repeated_runs(docs.select(*own), run), at)), "substring-docs")
     drop_shuffles(docs.sparkSession)
-    joined = _with_lists(docs, repeated_passages(docs, run)).select(*own, "_at", "_words")
-    return joined.mapInArrow(tidy(_remover(own, run)), schema)
+    passages = repeated_passages(docs.select("text", "doc_id", F.col(at).alias("_at")), run).withColumnRenamed("_words", words)
+    return _with_lists(docs, passages).select(*own, at, words).mapInArrow(tidy(_remover(own, run)), schema)

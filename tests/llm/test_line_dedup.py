@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from texts import EDGE_TEXTS, prose
 
 from domquarry.llm.line_dedup import BLANKS, CuckooFilter, LineIndex, dedup_lines
@@ -51,11 +52,18 @@ def collected(df):
 
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_against_brute_force(spark, docs_of, monkeypatch, broadcast):
-    if not broadcast:
+    asked = []
+    if not broadcast:  # beyond the bound the filters are asked too, a block of shards at a time
         monkeypatch.setattr(LineIndex, "BROADCAST_KEYS", -1)
+        monkeypatch.setattr(LineIndex, "KEYS_A_SHARD", 2)
+        monkeypatch.setattr(LineIndex, "FILTER_BYTES", 40)
+        blocks = LineIndex._filter_blocks
+        monkeypatch.setattr(LineIndex, "_filter_blocks", lambda self: [asked.append(b) or b for b in blocks(self)])
     rows = fixture()
-    out = dedup_lines(docs_of(rows))
-    assert collected(out) == order(brute(rows))
+    docs = docs_of(rows).selectExpr("*", "'a' AS _doc", "'b' AS _keys")
+    out = dedup_lines(docs)
+    assert collected(out) == order(brute(rows)) and {"_doc", "_keys"} <= set(out.columns)
+    assert broadcast or len(asked) > 1
     assert "n_chars" in out.columns and out.columns.count("kept_text") == 1
 
 
@@ -77,6 +85,26 @@ def test_empty_table(docs_of):
     assert dedup_lines(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_only_lines_that_pass_are_looked_up(docs_of, monkeypatch, broadcast):
+    """With filters that hold nothing, no line reaches the exact table: the filters decide first, whatever the number of keys."""
+    if not broadcast:
+        monkeypatch.setattr(LineIndex, "BROADCAST_KEYS", -1)
+    docs = docs_of(fixture())
+    index = LineIndex.build(docs)
+    index.filters = index.filters.withColumn("blob", F.lit(bytes(32)))
+    assert all(r["n_dropped"] == 0 for r in index.apply(docs).collect())
+
+
+def test_long_text(docs_of):
+    """Over 20,000 words and 1 MB in one text."""
+    shared = "this line of over forty characters is in five documents"
+    long = "\n".join(f"{i} {prose(i, 12)}" for i in range(8000)).replace("\n", f"\n{shared}\n", 3)
+    rows = [(i, f"own {i}\n{shared}") for i in range(5)] + [(0 - i, "\u00e9" * 500_000) for i in range(1, 3)] + [(-9, long)]
+    assert len(long.split()) > 20_000
+    assert collected(dedup_lines(docs_of(rows))) == order(brute(rows))
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
