@@ -5,7 +5,8 @@ the whole sequence as one; without words it is empty and linked with nothing. Do
 100 * intersection >= 85 * union, always confirmed on full sets; components are the classes.
 
 1. One pass makes of each text a hash of its set, 64 minwise tokens and a bit of each of 256.
-2. Documents of equal sets are one class (a hash aggregate, combined map-side); only classes go on.
+2. Documents of equal sets (128 bits of hash and the size) are one class with a number of its own (a hash aggregate, combined
+   map-side); only classes go on, by number.
 3. Independent trees branch the classes by one token each at the root.
 4. Star pass: each node's least class is compared with its other members: a group of thousands of near copies gives one pair
    a member, not all pairs. Confirmed links are contracted to components.
@@ -15,8 +16,9 @@ the whole sequence as one; without words it is empty and linked with nothing. Do
    in more places than limits(percent) allows; the rest are confirmed on full sets.
 
 A pair of similarity 0.85 shares a root token in a tree with probability 0.85 and survives each further level with 0.9775;
-a bit differs with probability 0.075, so over 18 of 64 or over 42 of 256 do with probability under 1e-6; other values of percent have limits of their own. With 10 trees a link is missed with probability 6e-9 where root
-nodes are small and under 1e-6 three levels down.
+a bit differs with probability 0.075, so over 18 of 64 or over 42 of 256 do with probability under
+1e-6; other values of percent have limits of their own. With 10 trees a link is missed with probability 6e-9 where root nodes are
+small and under 1e-6 three levels down.
 
 Cases: a row without doc_id is linked with nothing, its component_id is null and it is kept; rows that repeat a doc_id are each
 judged by their own text; an empty table gives an empty result.
@@ -37,7 +39,7 @@ from .components import components
 SHINGLE, TOKENS, SKETCH, LEAF, DEPTH = 5, 64, 256, 32, 4
 #: Probability with which a link at the threshold may be lost to one sketch, and to all trees three levels down.
 MISS = 1e-6
-#: Ids of compared classes are broadcast up to this number (8 bytes each); beyond it the texts are joined by shuffle.
+#: Ids of compared classes, and of rows that go, are broadcast up to this number (32 bytes each at most); beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 1 << 20
 
 _rng = np.random.default_rng(20240229)
@@ -120,8 +122,8 @@ def _sketcher(batches):
         words = np.concatenate(fine) if fine else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TOKENS, dtype=np.int32)), pa.array(flat))
         fines = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, SKETCH // 64, dtype=np.int32)), pa.array(words))
-        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bits, pa.int64()), fines, lists]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "c", "lo", "bits", "fine", "tokens"])
+        columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bits, pa.int64()), fines, lists]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "n_shingles", "hi", "lo", "bits", "fine", "tokens"])
 
 
 def pack_set(s: np.ndarray) -> bytes:
@@ -137,13 +139,14 @@ def unpack_set(raw) -> np.ndarray:
 
 
 def _set_rows(batches):
+    """Over rows (text, c, hi, lo): the class's number and its set; texts of another set (of rows that repeat an id) give none."""
     for batch in batches:
-        c, n, sets = [], [], []
-        for s in shingle_sets(batch.column(0)):
-            c.append(set_key(s)[0])
-            n.append(len(s))
-            sets.append(pack_set(s))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.binary())], ["c", "n", "members"])
+        own, sets = [], []
+        for i, (s, hi, lo) in enumerate(zip(shingle_sets(batch.column(0)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            if len(s) and set_key(s) == (hi, lo):
+                own.append(i)
+                sets.append(pack_set(s))
+        yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(own, pa.int64())), pa.array(sets, pa.binary())], ["c", "members"])
 
 
 def _confirm(percent: int):
@@ -165,10 +168,10 @@ class _Join:
         self.percent = percent
         self.bits, self.sketch_bits, self.trees = limits(percent)
         self.docs = docs.select(F.col("doc_id").cast("long"), "text")
-        self.rows = materialize(self.docs.mapInArrow(tidy(_sketcher), "doc_id long, n_shingles long, c long, lo long, bits long, fine array<long>, tokens array<int>"), "near-sketches")
+        self.rows = materialize(self.docs.withColumn("t", F.xxhash64("text")).mapInArrow(tidy(_sketcher), "doc_id long, t long, n_shingles long, hi long, lo long, bits long, fine array<long>, tokens array<int>"), "near-sketches")
         real = self.rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        classes = real.groupBy("c", "lo", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("fine").alias("fine"), F.first("tokens").alias("tokens"))
-        self.classes = materialize(classes.withColumnRenamed("n_shingles", "n"), "near-classes")
+        classes = real.groupBy("hi", "lo", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("fine").alias("fine"), F.first("tokens").alias("tokens"))
+        self.classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "near-classes")  # written, so numbers stay
 
     def roots(self) -> DataFrame:
         """node, c, n, bits, tree: one root branch a tree."""
@@ -185,11 +188,11 @@ class _Join:
         apart = " + ".join(f"bit_count(x[{i}] ^ y[{i}])" for i in range(SKETCH // 64))
         pairs = pairs.join(fine.withColumnsRenamed({"c": "a", "fine": "x"}), "a").join(fine.withColumnsRenamed({"c": "b", "fine": "y"}), "b")
         pairs = materialize(pairs.where(f"{apart} <= {self.sketch_bits}").select("a", "b"), "near-alike")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(self.classes.select("c", "doc_id"), "c").select("doc_id").distinct()
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(self.classes.select("c", "hi", "lo", "doc_id"), "c")
         ids = materialize(ids, "near-ids")
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
-        sets = self.docs.join(ids, "doc_id").select("text").mapInArrow(tidy(_set_rows), "c long, n long, members binary")
+        sets = self.docs.join(ids, "doc_id").select("text", "c", "hi", "lo").mapInArrow(tidy(_set_rows), "c long, members binary")
         sets = materialize(sets, "near-sets").dropDuplicates(["c"])  # rows may repeat ids
         own = pairs.join(sets.select(F.col("c").alias("b"), F.col("members").alias("y")), "b")
         own = own.join(sets.select(F.col("c").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
@@ -197,7 +200,7 @@ class _Join:
 
     def star_links(self) -> DataFrame:
         rows = self.roots()
-        pivot = rows.groupBy("node").agg(F.min(F.struct("c", "n", "bits")).alias("p"), F.count("*").alias("size")).where("size > 1")
+        pivot = rows.groupBy("node").agg(F.min(F.struct("bits", "n", "c")).alias("p"), F.count("*").alias("size")).where("size > 1")
         near = rows.join(pivot, "node").where("c <> p.c").where(self.near("n", "p.n", "bits", "p.bits"))
         # of a class's pivots in all trees the likeliest
         best = near.groupBy("c").agg(F.min(F.struct(F.expr("bit_count(bits ^ p.bits)").alias("apart"), F.col("p.c").alias("a"))).alias("b"))
@@ -234,21 +237,31 @@ class _Join:
         return self.confirm(materialize(found.distinct(), "near-rest"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs' doc_id (as long) with n_shingles, component_id and kept (doc_id = component_id), a row for each row."""
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, t (a hash of the text), n_shingles, component_id and kept, a row for each row."""
     join = _Join(docs, percent)
     star = materialize(join.star_links(), "near-links")
     links = star.unionByName(materialize(join.rest_links(star), "near-links"))
     label = components(links)
-    of = join.classes.select("c", "lo", "doc_id").join(label.withColumnRenamed("node", "c"), "c", "left").select("c", "lo", F.col("doc_id").alias("least"), F.coalesce("root", "c").alias("root"))
+    of = join.classes.select("c", "hi", "lo", "n", "doc_id").join(label.withColumnRenamed("node", "c"), "c", "left").select("hi", "lo", "n", F.col("doc_id").alias("least"), F.coalesce("root", "c").alias("root"))
     smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = of.join(smallest, "root").select("c", "lo", "component_id")
-    rows = join.rows.select("doc_id", "n_shingles", "c", "lo").join(classes, ["c", "lo"], "left")
+    classes = of.join(smallest, "root").select("hi", "lo", F.col("n").alias("n_shingles"), "component_id")
+    rows = join.rows.select("doc_id", "t", "n_shingles", "hi", "lo").join(classes, ["hi", "lo", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    rows = rows.select("doc_id", "t", "n_shingles", component.alias("component_id"))
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """docs' doc_id (as long) with n_shingles, component_id and kept (doc_id = component_id), a row for each row."""
+    return _judged(docs, percent).drop("t")
 
 
 def dedup_near(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs without the rows whose document isn't the smallest of its component; rows that repeat a kept id all stay."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose document isn't the smallest of its component; rows that repeat a kept id and text all stay."""
+    judged = _judged(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"))
+    gone = materialize(judged.distinct(), "near-gone")  # of rows that share an id only those of this text go
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    same = (docs["doc_id"].cast("long") == gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_t"])
+    return docs.join(gone, same, "left_anti")

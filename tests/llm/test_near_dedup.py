@@ -84,6 +84,26 @@ def test_shuffled_texts(docs_of, monkeypatch):
     assert kept.columns == docs_of([]).columns
 
 
+@pytest.mark.parametrize("bound", [1 << 20, -1])
+def test_rows_that_share_an_id(docs_of, monkeypatch, bound):
+    """Only the row whose own text is a copy goes, not all rows of its id."""
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", bound)
+    base, other = prose(5, 200), prose(9, 200)
+    rows = [(1, base), (7, other), (7, edited(base, 1, 0.004)), (8, other), (8, prose(10, 90))]
+    docs = docs_of(rows).selectExpr("*", "1 AS _doc", "2 AS _t", "3 AS c", "4 AS hi")
+    kept = dedup_near(docs)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, base), (7, other), (8, prose(10, 90))])
+    assert kept.columns == docs.columns
+
+
+def test_long_text(docs_of):
+    """Over 20,000 words and 1 MB."""
+    long = prose(3, 80_000)
+    rows = [(1, long), (2, long + " one more"), (3, "\u00e9" * 600_000), (4, "\u00e9" * 600_000 + " b")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs_of(rows)).collect()}
+    assert got[1][1] == got[2][1] == 1 and got[1][0] > 75_000 and got[3] == (1, 3) and got[4] == (1, 4)
+
+
 def test_empty_table(docs_of):
     assert near_duplicates(docs_of([])).count() == 0
 
