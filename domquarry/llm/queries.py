@@ -84,8 +84,8 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
              ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM d),
 x AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM g),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS both, count(*) AS inter FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p WHERE 100 * inter >= 85 * (both - inter)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS sizes, count(*) AS inter FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * inter >= 85 * (sizes - inter)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS root FROM g UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
