@@ -9,7 +9,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .references import LONGEST_NAME, WITH_SEMICOLON, of_name, of_number
+from .references import LONGEST_NAME, WITH_SEMICOLON, number_of, of_name, of_number
 
 _ESCAPES = (("&", "&amp;"), (" ", "&nbsp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;"))
 _NUMBER = re.compile(r"\s*(?:[xX]\s*(?:0[xX])?([0-9A-Fa-f]+)|([+-]?[0-9]+))\s*(;?)")
@@ -47,8 +47,8 @@ def _decode(piece: str) -> tuple[str, int] | None:
         number = _NUMBER.match(piece, lead.end())
         if not number:
             return None
-        code = int(number.group(1), 16) if number.group(1) else int(number.group(2))
-        return of_number(min(max(code, 0), 0xFFFFFFFF))[0], number.end() if number.group(3) else number.end(2 if number.group(2) else 1)
+        code = number_of(number.group(1), 16) if number.group(1) else number_of(number.group(2), 10)
+        return of_number(code)[0], number.end() if number.group(3) else number.end(2 if number.group(2) else 1)
     found = of_name(piece, 1)
     return (found[0], found[1] + 1) if found else None
 
@@ -59,9 +59,9 @@ def _unescape_udf(column: pd.Series) -> pd.Series:
 
 
 def html_unescape(column: Column | str) -> Column:
-    """Only texts with an ampersand need Python."""
+    """Python workers get null for a text without an ampersand: the function is taken out of any condition around it."""
     column = F.col(column) if isinstance(column, str) else column
-    return F.when(F.contains(column, F.lit("&")), _unescape_udf(column)).otherwise(column)
+    return F.coalesce(_unescape_udf(F.when(F.contains(column, F.lit("&")), column)), column)
 
 
 def register(spark: SparkSession) -> None:

@@ -31,6 +31,14 @@ def of_number(code: int) -> tuple[str, bool]:
     return chr(code), is_disallowed(code)
 
 
+def number_of(digits: str, base: int) -> int:
+    """The number that digits, with a sign or without, write: 0 if negative, one and the same beyond 32 bits, however many digits there are."""
+    if digits.startswith("-"):
+        return 0
+    digits = digits.lstrip("+").lstrip("0")
+    return min(int(digits or "0", base), 0xFFFFFFFF) if len(digits) <= 10 else 0xFFFFFFFF
+
+
 def of_name(text: str, at: int) -> tuple[str, int] | None:
     """The longest known name at that place of the text: what it stands for and its length with the semicolon."""
     run = _RUN.match(text, at, at + LONGEST_NAME)

@@ -16,7 +16,7 @@ import re
 from collections import deque
 from collections.abc import Callable
 
-from ..functions.references import is_disallowed, of_name, of_number
+from ..functions.references import is_disallowed, number_of, of_name, of_number
 
 SPACE = "\t\n\f "
 _UPPER = {c: c + 32 for c in range(0x41, 0x5B)}
@@ -146,7 +146,7 @@ class Tokenizer:
                 self.at += 1
             else:
                 self._error("numeric reference without semicolon")
-            value, wrong = of_number(min(max(int(digits.group(), 16 if hexadecimal else 10), 0), 0xFFFFFFFF))
+            value, wrong = of_number(number_of(digits.group(), 16 if hexadecimal else 10))
             if wrong:
                 self._error("numeric reference to no allowed character")
             return value

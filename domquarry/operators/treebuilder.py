@@ -214,7 +214,7 @@ class TreeBuilder:
     # ---- the stack
 
     def is_open(self, node: Node | None) -> bool:
-        return any(x is node for x in self.open)
+        return any(x is node for x in reversed(self.open))
 
     def in_scope(self, *tags: str, extra: tuple[str, ...] = ()) -> bool:
         for node in reversed(self.open):
@@ -286,7 +286,8 @@ class TreeBuilder:
                 return self.open[0], len(self.open[0].children)
             table = self.open[at]
             if table.parent is not None and table.parent.kind == "element":
-                return table.parent, next(i for i, x in enumerate(table.parent.children) if x is table)
+                own = table.parent.children  # the table mostly is the last
+                return table.parent, next(i for i in range(len(own) - 1, -1, -1) if own[i] is table)
             before = self.open[at - 1]
             return before, len(before.children)
         return target, len(target.children)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 from .compiler import nth_matches, nth_matches_strictly
 from .selector import Selector
@@ -15,17 +16,61 @@ def _parent(node):
     return p if p is not None and p.kind == "element" else None
 
 
-def _siblings(node) -> list:
-    p = _parent(node)
-    return [x for x in p.children if x.kind == "element"] if p is not None else []
-
-
 class Matcher:
-    """Remembers, for one document, what each part of the selector gave for each node."""
+    """Remembers, for one document, what each part of the selector gave for each node, and counts along siblings: time is linear in nodes."""
 
     def __init__(self, selector: Selector | str):
         self.tree = Selector.of(selector).tree
         self.known: dict[tuple[int, int], bool] = {}
+        self.above: dict[tuple[int, int], bool] = {}
+        self.places: dict[int, tuple[list, dict[int, int]]] = {}
+        self.counts: dict[tuple[int, int], list[int]] = {}
+        self.types: dict[int, tuple[dict[int, int], dict[str, int]]] = {}
+
+    def _siblings(self, node) -> tuple[list, int]:
+        """The element children of a node's parent element, and the node's place among them."""
+        parent = _parent(node)
+        if parent is None:
+            return [], 0
+        if id(parent) not in self.places:
+            own = [x for x in parent.children if x.kind == "element"]
+            self.places[id(parent)] = own, {id(x): i for i, x in enumerate(own)}
+        own, at = self.places[id(parent)]
+        return own, at[id(node)]
+
+    def _upto(self, p: tuple, own: list, parent) -> list[int]:
+        """How many of the first 0, 1, 2 ... siblings match."""
+        key = (id(p), id(parent))
+        if key not in self.counts:
+            self.counts[key] = [0, *accumulate(self.test(p, x) for x in own)]
+        return self.counts[key]
+
+    def _of_type(self, own: list, parent, node) -> tuple[int, int]:
+        """A node's place among the siblings of its tag, and their number."""
+        if parent is None:
+            return 0, 1
+        if id(parent) not in self.types:
+            seen: dict[str, int] = {}
+            places = {}
+            for x in own:
+                places[id(x)] = seen.get(x.tag, 0)
+                seen[x.tag] = places[id(x)] + 1
+            self.types[id(parent)] = places, seen
+        places, seen = self.types[id(parent)]
+        return places[id(node)], seen[node.tag]
+
+    def _below(self, p: tuple, node) -> bool:
+        """Whether an element above the node matches."""
+        todo, up = [], node
+        while (id(p), id(up)) not in self.above:
+            todo.append(up)
+            up = _parent(up)
+            if up is None:
+                break
+        for x in reversed(todo):
+            up = _parent(x)
+            self.above[id(p), id(x)] = up is not None and (self.test(p, up) or self.above[id(p), id(up)])
+        return self.above[id(p), id(node)]
 
     def matches(self, node) -> bool:
         return self.test(self.tree, node)
@@ -57,15 +102,11 @@ class Matcher:
         if kind == "not":
             return not self.test(p[1], node)
         if kind == "descendant":
-            up = _parent(node)
-            while up is not None and not self.test(p[1], up):
-                up = _parent(up)
-            return up is not None
+            return self._below(p[1], node)
+        up = _parent(node)
         if kind == "child":
-            up = _parent(node)
             return up is not None and self.test(p[1], up)
-        own = _siblings(node)
-        at = next((i for i, x in enumerate(own) if x is node), 0)
+        own, at = self._siblings(node)
         if kind == "only_child":
             return len(own) == 1
         if kind == "nth":
@@ -73,16 +114,16 @@ class Matcher:
         if kind == "nth_strict":
             return nth_matches_strictly(max(len(own), 1) - at if p[3] else at + 1, p[1], p[2])
         if kind == "own_type":
-            alike = [x for x in own if x.tag == node.tag] or [node]
-            place = next(i for i, x in enumerate(alike) if x is node)
-            return nth_matches_strictly(len(alike) - place if p[3] else place + 1, p[1], p[2])
+            place, alike = self._of_type(own, up, node)
+            return nth_matches_strictly(alike - place if p[3] else place + 1, p[1], p[2])
         if not own:
             return False
         if kind == "next":
             return at > 0 and self.test(p[1], own[at - 1])
         if kind == "later":
-            return any(self.test(p[1], x) for x in own[:at])
-        first, last = sum(self.test(p[-1], x) for x in own[: at + 1]), sum(self.test(p[-1], x) for x in own[at:])
+            return self._upto(p[1], own, up)[at] > 0
+        upto = self._upto(p[-1], own, up)
+        first, last = upto[at + 1], upto[-1] - upto[at]
         if kind == "only_type":
             return first == 1 and last == 1
         return nth_matches(last if p[3] else first, p[1], p[2])
