@@ -23,10 +23,13 @@ def select_all(nodes: DataFrame, selector: Selector | str, within: DataFrame | N
 
 
 def select_first(nodes: DataFrame, selector: Selector | str, within: DataFrame | None = None) -> DataFrame:
-    """The first match of each document that has one."""
-    found = select_all(nodes, selector, within)
-    columns = [c for c in found.columns if c != "doc_id"]
-    return found.groupBy("doc_id").agg(F.min_by(F.struct(*columns), "node_id").alias("_r")).select("doc_id", "_r.*")
+    """The first match of each document; a document without one has a row of nulls. With ``within``, of the documents of these rows."""
+    found = with_match(nodes, selector, "_match")
+    found = inside(found, within) if within is not None else found
+    columns = [c for c in found.columns if c not in ("doc_id", "_match")]
+    # one pass over elements: every document has some, and those that don't match count as nulls
+    row = F.min_by(F.when(F.col("_match"), F.struct(*columns)), F.when(F.col("_match"), F.col("node_id")))
+    return found.groupBy("doc_id").agg(row.alias("_r")).select("doc_id", "_r.*")
 
 
 def inside(nodes: DataFrame, roots: DataFrame, include_self: bool = True) -> DataFrame:
@@ -72,6 +75,12 @@ def child_at(nodes: DataFrame, of: DataFrame, index: int) -> DataFrame:
     return children(nodes, of).where(F.col("child_idx") == index)
 
 
+def index_of_child(nodes: DataFrame, of: DataFrame, child: DataFrame) -> DataFrame:
+    """doc_id, node_id of the rows of ``of`` and index: where ``child``, of the same document, stands among its children; null if it is none."""
+    places = child.select("doc_id", F.col("parent_id").alias("node_id"), F.col("child_idx").alias("index"))
+    return of.select(*NODE).join(places, NODE, "left")
+
+
 def text_content(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """nodes with text_content: all text in the subtree, or a comment's own data."""
     text = F.when(F.col("node_type") == "comment", F.col("data")).otherwise(F.expr("substring(_text, text_start + 1, text_end - text_start)"))

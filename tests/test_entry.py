@@ -3,7 +3,9 @@
 import pytest
 
 import __spark_entry__
-from domquarry.queries import ORACLE_SQL, QUERIES
+from domquarry import made_pages, queries
+
+QUERIES, ORACLE_SQL = queries.QUERIES | made_pages.QUERIES, queries.ORACLE_SQL | made_pages.ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 
