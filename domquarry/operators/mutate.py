@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.attributes import attrs_with, attrs_without
 from ..plans.matcher import Matcher
 from ..plans.selector import Selector
-from .parse import _ATTRS, _DDL, _TYPES, with_lookups
+from .parse import _ATTRS, _DDL, _TYPES, Parsed, _pages, parse_string, preorder, with_lookups
 from .serializer import FIELDS, flatten
 from .treebuilder import Node
 
@@ -195,6 +195,20 @@ def apply_edits(nodes: DataFrame, changes: DataFrame | None = None) -> DataFrame
     return with_lookups(plain.groupBy("doc_id").cogroup(changes.groupBy("_doc")).applyInArrow(both, _PLAIN))
 
 
+def edit_html(df: DataFrame, selector: Selector | str, op: str, at: int | None = None, spec: dict | None = None, html: str = "html", id_col: str = "doc_id", fields: list[str] = FIELDS, partitions="auto") -> Parsed:
+    """Parses strings and edits every element that matches before rows are made of the tree: nothing is exchanged."""
+    selector = Selector.of(selector)
+
+    def parse(page: str):
+        builder, encoding, confidence = parse_string(page)
+        by, match = dict(enumerate(preorder(builder.document))), Matcher(selector)
+        for i in [i for i, node in by.items() if node.kind == "element" and match.matches(node)]:
+            apply_edit(by, {"target": i, "op": op, "at": at, "other": None, "spec": spec})
+        return builder, encoding, confidence
+
+    return _pages(df, [html], id_col, parse, fields, partitions)
+
+
 def edit_matches(nodes: DataFrame, selector: Selector | str, op: str, at: int | None = None, spec: dict | None = None) -> DataFrame:
     """The same edit for every element that matches, found on the tree that is rebuilt anyway: nodes are read and exchanged once."""
     selector = Selector.of(selector)

@@ -46,6 +46,16 @@ class Parsed:
         n = self.rows.select("doc_id", F.inline("nodes"))
         return with_lookups(n)
 
+    def nodes_with(self, name: str, kind: str, where: Column) -> DataFrame:
+        """nodes with the ``text``, ``inner`` or ``outer`` markup (kind) of those for which ``where`` holds, null for the others.
+
+        It is cut out in the row of the page, before nodes are exchanged: one parse serves both and no text goes along.
+        """
+        source, start, end = {"text": ("text", "text_start", "text_end"), "inner": ("html", "inner_start", "inner_end"), "outer": ("html", "html_start", "html_end")}[kind]
+        n = self.rows.select("doc_id", F.col(f"doc.{source}").alias("_source"), F.inline("nodes"))
+        cut = F.when(where, F.expr(f"substring(_source, {start} + 1, {end} - {start})"))
+        return with_lookups(n.withColumn(name, cut).drop("_source"))
+
     @property
     def errors(self) -> DataFrame:
         return self.rows.select("doc_id", F.posexplode("errors").alias("seq", "message"))

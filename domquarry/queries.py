@@ -11,7 +11,7 @@ from .functions.encodings import LABELS, encoding_for_label, encoding_of
 from .functions.entities import html_escape, html_unescape
 from .operators import mutate
 from .operators.parse import Parsed, attr, parse_fragment, parse_html, parse_html_bytes, select_html, tokenize_html
-from .operators.select import describe_tree, descendants, inner_html, outer_html, parent_element, select_all, select_first, text_components, text_content, with_match
+from .operators.select import describe_tree, descendants, parent_element, select_all, select_first, text_components, with_match
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -63,6 +63,8 @@ def _n(pattern: str) -> str:
     return f"len(regexp_extract_all(html, '{pattern}'))"
 
 
+#: Text as it is written again: only ampersands, no-break spaces and angle brackets are references.
+_RETEXT = "replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"')"
 _UNESCAPE = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
 
 
@@ -147,8 +149,20 @@ counts("dash_match", "html[lang|=en]", "CASE WHEN contains(html, '<html lang=\"e
 counts("never_matching", "a:visited, p:hover", "0")
 counts("enabled_links", "a:enabled", _n("<a href="))
 counts("disabled_controls", ":disabled", "0")
+#: Paragraphs of the article: an unclosed b is opened again in each later paragraph and in the footer, three times at most.
+_PARAGRAPHS = """WITH a AS (SELECT page_id, html, string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>') AS parts FROM pages),
+u AS (SELECT page_id, unnest(range(1, len(parts))) AS i, unnest(parts[2:]) AS part FROM a),
+p AS (SELECT *, CASE WHEN starts_with(part, '<b>') THEN 1 ELSE 0 END AS own FROM u),
+c AS (SELECT *, CAST(least(3, coalesce(sum(own) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) AS again FROM p),
+t AS (SELECT page_id, sum(own) AS b, sum(own + again) AS opened, sum(greatest(own + again - 1, 0)) AS nested, sum(CASE WHEN own + again > 0 AND ends_with(part, '</p>') THEN 1 ELSE 0 END) AS closed,
+      sum(CASE WHEN own + again > 0 AND NOT ends_with(part, '</p>') THEN 1 ELSE 0 END) AS unclosed, bool_and(ends_with(part, '</p>') OR i < n) AS ended FROM c JOIN (SELECT page_id AS id, max(i) AS n FROM c GROUP BY page_id) ON id = page_id GROUP BY page_id),
+s AS (SELECT page_id, html, parts, coalesce(b, 0) AS b, coalesce(opened, 0) + least(3, coalesce(b, 0)) AS opened, coalesce(nested, 0) + greatest(least(3, coalesce(b, 0)) - 1, 0) AS nested,
+      coalesce(closed, 0) + coalesce(unclosed, 0) - CASE WHEN coalesce(ended, true) OR b = 0 THEN 0 ELSE 1 END AS closings, CASE WHEN coalesce(ended, true) OR b = 0 THEN 0 ELSE 1 END + CASE WHEN coalesce(b, 0) > 0 THEN 1 ELSE 0 END AS ends FROM a LEFT JOIN t USING (page_id))
+"""
 counts("b_count", "b", None)
 counts("b_nested", "b b", None)
+ORACLE_SQL["b_count"] = f"{_PARAGRAPHS} SELECT page_id, CAST(opened AS BIGINT) AS n FROM s"
+ORACLE_SQL["b_nested"] = f"{_PARAGRAPHS} SELECT page_id, CAST(nested AS BIGINT) AS n FROM s"
 
 
 @query(_extracted('<div class="ad">([^<]*)</div>', "text"))
@@ -159,8 +173,8 @@ def ad_text(spark, sf_dir):
 @query(_extracted('<div class="ad">([^<]*)</div>', "text"))
 def nav_next(spark, sf_dir):
     """By compiled selector, with texts cut out of the documents' text by offsets."""
-    parsed = _parsed(spark, sf_dir)
-    return text_content(select_all(parsed.nodes, "nav + div"), parsed.docs).select(F.col("doc_id").alias("page_id"), F.col("text_content").alias("text"))
+    nodes = _parsed(spark, sf_dir, [*_CORE, "text_start", "text_end"]).nodes_with("text", "text", F.col("tag") == "div")
+    return select_all(nodes, "nav + div").select(F.col("doc_id").alias("page_id"), "text")
 
 
 @query(_extracted("<footer>([^<]*)</footer>", "text"))
@@ -175,8 +189,8 @@ def article_text(spark, sf_dir):
 
 @query(_extracted("<h1>([^<]*)</h1>", "text"))
 def first_heading(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir)
-    return text_content(select_first(parsed.nodes, "h1"), parsed.docs).select(F.col("doc_id").alias("page_id"), F.col("text_content").alias("text"))
+    nodes = _parsed(spark, sf_dir, [*_CORE, "text_start", "text_end"]).nodes_with("text", "text", F.col("tag") == "h1")
+    return select_first(nodes, "h1").select(F.col("doc_id").alias("page_id"), "text")
 
 
 @query("SELECT page_id, regexp_extract(html, '<!--(.*?)-->', 1) AS data FROM pages")
@@ -187,23 +201,25 @@ def comments(spark, sf_dir):
 
 @query("SELECT page_id, regexp_extract(html, '(?s)<nav>(.*)</nav>', 1) AS inner_html FROM pages")
 def nav_inner_html(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir)
-    return inner_html(select_all(parsed.nodes, "nav"), parsed.docs).select(F.col("doc_id").alias("page_id"), "inner_html")
+    nodes = _parsed(spark, sf_dir, [*_CORE, "inner_start", "inner_end"]).nodes_with("inner_html", "inner", F.col("tag") == "nav")
+    return select_all(nodes, "nav").select(F.col("doc_id").alias("page_id"), "inner_html")
 
 
 @query("SELECT page_id, regexp_extract(html, '(?s)(<nav>.*</nav>)', 1) AS outer_html FROM pages")
 def nav_outer_html(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir)
-    return outer_html(select_all(parsed.nodes, "nav"), parsed.docs).select(F.col("doc_id").alias("page_id"), "outer_html")
+    nodes = _parsed(spark, sf_dir, [*_CORE, "html_start", "html_end"]).nodes_with("outer_html", "outer", F.col("tag") == "nav")
+    return select_all(nodes, "nav").select(F.col("doc_id").alias("page_id"), "outer_html")
 
 
-@query()
+@query(f"""{_PARAGRAPHS} SELECT page_id, '<article>' || {_RETEXT.format('parts[1]')} || coalesce(markup, '') || '</article>' AS html FROM s LEFT JOIN (
+SELECT page_id, string_agg('<p>' || repeat('<b>', again) || {_RETEXT.format("regexp_replace(part, '</p>$', '')")} || repeat('</b>', again + own) || '</p>', '' ORDER BY i) AS markup FROM c GROUP BY page_id) USING (page_id)""")
 def serialize_article(spark, sf_dir):
     found = select_html(_pages(spark, sf_dir), "article", id_col="page_id", first=True)
     return found.select(F.col("doc_id").alias("page_id"), "html")
 
 
-@query()
+@query(f"""{_PARAGRAPHS} SELECT message, CAST(sum(n) AS BIGINT) AS n, count(*) AS pages FROM (
+SELECT page_id, 'closing a p that is not current' AS message, closings AS n FROM s UNION ALL SELECT page_id, 'end tag of an element that is not current', ends FROM s) WHERE n > 0 GROUP BY message""")
 def parse_errors(spark, sf_dir):
     e = _parsed(spark, sf_dir, ["node_id"]).errors
     return e.groupBy("message").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("pages"))
@@ -214,10 +230,11 @@ def page_modes(spark, sf_dir):
     return _parsed(spark, sf_dir, ["node_id"]).docs.select(F.col("doc_id").alias("page_id"), "quirks_mode", "doctype_name", "encoding", "encoding_confidence")
 
 
-@query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) WHERE tag <> 'b' GROUP BY tag")
+@query(f"""{_PARAGRAPHS} SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) WHERE tag <> 'b' GROUP BY tag
+UNION ALL SELECT 'b', CAST(sum(opened) AS BIGINT) FROM s HAVING sum(opened) > 0""")
 def tag_histogram(spark, sf_dir):
     nodes = _parsed(spark, sf_dir, ["node_type", "tag"]).rows.select(F.inline("nodes"))
-    return nodes.where("node_type = 'element' AND tag <> 'b'").groupBy("tag").agg(F.count("*").alias("n"))
+    return nodes.where("node_type = 'element'").groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @query("SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS name FROM pages) GROUP BY name")
@@ -245,9 +262,9 @@ def fragments(spark, sf_dir):
 
 @query("SELECT page_id, 0 AS n_ads, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS n_li FROM pages")
 def remove_ads(spark, sf_dir):
-    """A change to trees: elements go, the rest is renumbered."""
-    nodes = _parsed(spark, sf_dir).nodes
-    left = mutate.edit_matches(nodes, ".ad", "remove")
+    """A change to trees: elements go in the parse task, before the rest is numbered."""
+    fields = ["node_type", "tag", "attrs"]
+    left = mutate.edit_html(_pages(spark, sf_dir), ".ad", "remove", id_col="page_id", fields=fields).nodes
     return left.groupBy(F.col("doc_id").alias("page_id")).agg(
         F.sum(F.coalesce(F.array_contains("classes", "ad").cast("int"), F.lit(0))).cast("int").alias("n_ads"), F.sum(F.coalesce((F.col("tag_lc") == "li").cast("long"), F.lit(0))).alias("n_li")
     )
@@ -264,7 +281,9 @@ def relabelled_links(spark, sf_dir):
     return html.select(F.col("doc_id").alias("page_id"), F.regexp_extract("html", "(?s)(<nav>.*</nav>)", 1).alias("markup"))
 
 
-@query()
+@query("""WITH l AS (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n FROM pages)
+SELECT page_id, CAST(14 + 3 * (i - 1) + j AS INTEGER) AS node_id, CAST(3 * (n - i) + j AS INTEGER) AS position, CASE j WHEN 0 THEN 'li' WHEN 1 THEN 'a' END AS tag
+FROM (SELECT page_id, n, unnest(range(1, n + 1)) AS i FROM l), (VALUES (0), (1), (2)) v(j)""")
 def reverse_walk(spark, sf_dir):
     nodes = _parsed(spark, sf_dir).nodes
     walk = descendants(nodes, select_all(nodes, "ul"), include_self=False, reverse=True)

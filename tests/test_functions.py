@@ -88,3 +88,15 @@ def test_lossy():
 )
 def test_meta(attrs, expected):
     assert encodings.of_meta(attrs) == expected
+
+
+def test_numbers_of_any_length():
+    """Beyond what an int is read from; the job must not die of one page."""
+    from domquarry.functions.entities import unescape
+    from domquarry.operators.treebuilder import parse_document
+
+    many = "9" * 5000
+    assert unescape(f"&#{many};x&#x{'f' * 5000};y&#{'0' * 5000}65;&#-5;") == "�x�yA�"
+    p = parse_document(f"<p title='&#{many};'>&#x{many};&#{'0' * 5000}65;")
+    body = p.document.children[0].children[1].children[0]
+    assert body.attrs["title"] == "�" and body.children[0].data == "�A"

@@ -182,3 +182,29 @@ def test_extra_columns_and_empty_tables(spark):
     assert parse_html(df).nodes.count() == 0 and parse_html(df).docs.count() == 0
     with pytest.raises(ValueError):
         parse_html(None)
+
+
+def test_edits_in_the_parse_task(spark):
+    """The same trees as by rows of nodes, and no exchange in the plan."""
+    pages = spark.createDataFrame([(1, HTML), (2, "")], "doc_id long, html string")
+    columns = ["doc_id", "node_id", "tag", "data", "html_start", "html_end"]
+    fused = mutate.edit_html(pages, "b", "remove", partitions=None).nodes.select(columns)
+    by_rows = mutate.edit_matches(parse_html(pages).nodes, "b", "remove").select(columns)
+    assert sorted(map(repr, fused.collect())) == sorted(map(repr, by_rows.collect()))
+    assert "Exchange" not in fused._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_beside_nodes(spark, parsed):
+    nodes = parsed.nodes_with("t", "text", F.col("tag") == "div")
+    assert [r["t"] for r in nodes.where("doc_id = 1 AND t IS NOT NULL").collect()] == ["onetwothree"]
+    assert one(select_all(parsed.nodes_with("t", "inner", F.col("tag") == "li"), "li"), "t") == ["1", "2"]
+
+
+def test_first_match_or_null(parsed):
+    from domquarry.operators.select import index_of_child, select_first
+
+    n = parsed.nodes
+    first = {r["doc_id"]: r["node_id"] for r in select_first(n, "li").collect()}
+    assert set(first) == {1, 2, 4} and first[1] is not None and first[2] is first[4] is None
+    ul = select_all(n, "ul")
+    assert [r["index"] for r in index_of_child(n, ul, select_all(n, "li:last-child")).collect()] == [1]

@@ -142,3 +142,47 @@ def test_no_text():
 )
 def test_nth(text, expected):
     assert parse_nth(text) == expected
+
+
+@pytest.mark.parametrize("selector", ["li:nth-child(2)", "li:last-of-type", "li ~ li", "li + li", "ul li", "li:only-of-type", "li:nth-last-of-type(odd)"])
+def test_matching_takes_steps_in_proportion(selector):
+    """Siblings are walked once, not once for each of them."""
+    import sys
+
+    from domquarry.operators.parse import preorder
+    from domquarry.operators.treebuilder import parse_document
+    from domquarry.plans.matcher import Matcher
+
+    def steps(n):
+        nodes = [x for x in preorder(parse_document("<ul>" + "<li>a" * n).document) if x.kind == "element"]
+        match, count = Matcher(selector), 0
+
+        def tick(frame, event, arg):
+            nonlocal count
+            count += 1
+            return tick
+
+        before = sys.gettrace()
+        sys.settrace(tick)
+        try:
+            for x in nodes:
+                match.matches(x)
+        finally:
+            sys.settrace(before)
+        return count
+
+    assert steps(800) < 2.2 * steps(400)
+
+
+def test_misplaced_content_takes_time_in_proportion():
+    import time
+
+    from domquarry.operators.treebuilder import parse_document
+
+    def seconds(n):
+        start = time.perf_counter()
+        parse_document("<table>" + "<i>x</i>" * n)
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16000) < 12 * min(seconds(4000) for _ in range(3))
