@@ -1,18 +1,22 @@
 """Lexical retrieval packing: a sharded BM25 inverted index returns unused neighbours, which fill a seed's window.
 
-A document is its token ids and an end id 0. A shard is a run of documents of one partition, SHARD_DOCS or SHARD_TOKENS at
-most (one document at least): texts are never shuffled. Document frequencies, the number of documents and their mean length
-come from all documents. In a shard, the document that begins a window is its seed; all its terms are looked
-up in the shard's inverted index, and the unused document of highest BM25 score (ties: the earliest) comes next, until the
-window is full. Weights are multiples of 2 ** -30, so that sums are exact in any order and ties are ties. What overflows begins the next window. So sequences are full but for a shard's last; that is cut into powers of
-two, which need no padding: no padding at all. Documents without a neighbour are followed by the first unused one.
+A document is its token ids and an end id 0. Documents are routed to shards by content: each has two minwise tokens, drawn with
+weights that grow with the token's number, as rare tokens have high ones; rows are range-partitioned and sorted by them, so
+documents that share rare tokens stand together, at every size of the corpus. A third key splits groups that share both, however
+many rows they hold. A shard is a run of documents of that order, SHARD_DOCS or SHARD_TOKENS at most (one document at least). Document
+frequencies, the number of documents and their mean length come from all documents.
+
+In a shard, the document that begins a window is its seed; all its terms are looked up in the shard's inverted index, and the
+unused document of highest BM25 score (ties: the earliest) comes next, until the window is full. Weights are multiples of
+2 ** -30, so that sums are exact in any order and ties are ties. What overflows begins the next window. So sequences are full but
+for a shard's last; that is cut into powers of two, which need no padding: no padding at all. Documents without a neighbour are
+followed by the first unused one.
 
 Cases: null text is empty and is one piece of the end id; rows that repeat a doc_id are each packed; an empty table gives none.
 """
 
 from __future__ import annotations
 
-import sys
 import zlib
 
 import numpy as np
@@ -22,11 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import materialize, tidy
+from .common import materialize, mix, tidy
 
 WINDOW, SHARD_DOCS, SHARD_TOKENS = 1024, 1024, 1 << 21
-#: How many of a seed's terms are looked up: all.
-QUERY_TERMS = sys.maxsize
 K1, B = 1.2, 0.75
 END = 0
 
@@ -38,24 +40,46 @@ def _unique(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[edge], np.diff(np.append(edge, len(s)))
 
 
+_DRAWS: list[np.ndarray] = [np.zeros((2, 0), np.float32)]
+
+
+def routes(terms: np.ndarray) -> tuple[int, int]:
+    """Two minwise tokens of a set of tokens, -1 if there is none: sets share one with the probability of their weighted similarity."""
+    if not len(terms):
+        return -1, -1
+    if terms[-1] >= _DRAWS[0].shape[1]:
+        n = max(1 << 16, 1 << int(terms[-1] + 1).bit_length())
+        h = mix(np.arange(2 * n, dtype=np.uint64).reshape(2, n) + np.uint64(0x9E3779B97F4A7C15))
+        _DRAWS[0] = (-np.log((h >> np.uint64(40)) / float(1 << 24) + 1e-9) / np.arange(1, n + 1)).astype(np.float32)
+    at = _DRAWS[0][:, terms].argmin(1)
+    return int(terms[at[0]]), int(terms[at[1]])
+
+
 def _tokenize(path: str):
     def run(batches):
         e = tokens.encoder(path)
+        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         df = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            n, ids = [], []
+            n, ids, keys = [], [], []
             for x in tokens.encode_rows(batch.column(0), e):
                 n.append(len(x) + 1)
                 terms = _unique(x)[0]
                 if len(terms) and terms[-1] >= len(df):
                     df = np.concatenate([df, np.zeros(int(terms[-1]) + 1, np.int64)])
                 df[terms] += 1
+                keys.append(routes(terms))
                 ids.append(x.astype(np.uint32).tobytes() if e.fast is None else x.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(n), pa.binary())], ["doc_id", "n", "ids", "df"])
+            k = np.array(keys, np.int32).reshape(-1, 2)
+            split = mix(np.arange(row, row + len(n)).astype(np.uint64)).view(np.int64)
+            row += len(n)
+            columns = [batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(n), pa.binary()), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(split)]
+            yield pa.RecordBatch.from_arrays(columns, _ENCODED)
         if df.any():
             terms = np.flatnonzero(df)
             packed = np.stack([terms, df[terms]], 1).astype(np.int64).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], ["doc_id", "n", "ids", "df"])
+            none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none[:3], pa.array([packed], pa.binary()), *none[3:]], _ENCODED)
 
     return run
 
@@ -130,6 +154,7 @@ def cut_points(total: int, window: int) -> np.ndarray:
     return np.array(points, np.int64)
 
 
+_ENCODED = ["doc_id", "n", "ids", "df", "k1", "k2", "split"]
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -185,7 +210,7 @@ def _packer(sent, wide: bool, window: int, with_ids: bool):
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds the ids themselves."""
     path = tokenizer or tokens.default_path()
-    encoded = materialize(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(tidy(_tokenize(path)), "doc_id long, n long, ids binary, df binary"), "packing-ids")
+    encoded = materialize(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(tidy(_tokenize(path)), "doc_id long, n long, ids binary, df binary, k1 int, k2 int, split long"), "packing-ids")
     # one row a term: the vocabulary bounds what comes to the driver
     terms = encoded.where("df IS NOT NULL").select("df").mapInArrow(tidy(_frequencies), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     n_docs, total = encoded.where("n IS NOT NULL").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -194,4 +219,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, wi
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
     sent = docs.sparkSession.sparkContext.broadcast((idf, total / max(1, n_docs)))
     wide = tokens.PieceEncoder._ranks(path) is None
-    return encoded.where("n IS NOT NULL").select("doc_id", "ids").mapInArrow(tidy(_packer(sent, wide, window, with_ids)), _PIECES + ", ids array<int>" * with_ids)
+    # the sample for the ranges reads the keys only, not the ids
+    routed = encoded.where("n IS NOT NULL").select("doc_id", "ids", "k1", "k2", "split").repartitionByRange("k1", "k2", "split").sortWithinPartitions("k1", "k2", "split")
+    return routed.select("doc_id", "ids").mapInArrow(tidy(_packer(sent, wide, window, with_ids)), _PIECES + ", ids array<int>" * with_ids)

@@ -90,10 +90,6 @@ def test_neighbours_are_by_bm25():
     shard = Shard(docs, idf, mean)
     for seed in range(n):
         terms = sorted(set(docs[seed].tolist()), key=lambda t: -idf[t])
-        if len(terms) > packing.QUERY_TERMS:
-            if idf[terms[packing.QUERY_TERMS]] == idf[terms[packing.QUERY_TERMS - 1]]:
-                continue  # which of equal terms are asked is open
-            terms = terms[: packing.QUERY_TERMS]
         scores = []
         for d in docs:
             tf = {t: int((d == t).sum()) for t in terms}
@@ -119,3 +115,74 @@ def test_all_terms_of_a_seed_count():
     idf = np.full(1 << 16, 1.1)
     idf[1:17] = 9.0
     assert Shard(docs, idf, 100.0).neighbour(0, np.array([False, True, True, True])) == 2
+
+
+def test_routes_by_brute_force():
+    """The token of least draw; sets that share most of their rare tokens mostly share a route."""
+    rng = np.random.default_rng(1)
+    same = 0
+    for _ in range(300):
+        terms = np.unique(rng.integers(1, 40_000, 60))
+        draws = packing.routes(terms) and packing._DRAWS[0]
+        assert packing.routes(terms) == tuple(int(min(terms, key=lambda t, k=k: draws[k, t])) for k in (0, 1))
+        near = np.unique(np.concatenate([terms[3:], rng.integers(1, 40_000, 3)]))
+        same += packing.routes(terms)[0] == packing.routes(near)[0]
+    assert same > 230
+    assert packing.routes(np.zeros(0, np.int64)) == (-1, -1)
+    assert packing.routes(np.array([5, 200_000]))[0] in (5, 200_000)
+
+
+def test_documents_of_a_topic_share_sequences(docs_of, monkeypatch):
+    """Rows of topics stand mixed; packed, most of a sequence is of one topic. With shards in order of rows none would be."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 16)
+    topics = [prose(70 + i, 30).split() for i in range(8)]
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(topics[i % 8], k=120))) for i in range(256)]
+    sequences = {}
+    for r in pack(docs_of(rows)).collect():
+        sequences.setdefault(r["sequence_id"], {}).setdefault(r["doc_id"] % 8, []).append(r["length"])
+    most = [max(map(sum, s.values())) / sum(map(sum, s.values())) for s in sequences.values()]
+    assert np.mean(most) > 0.5
+
+
+def test_a_group_of_copies_is_split(docs_of, spark):
+    """A third of all rows are copies: they have one route, and the third key still spreads them over tasks."""
+    rows = [(i, "the same text in all of these rows" if i % 3 == 0 else prose(i, 40)) for i in range(900)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = {}
+        for r in pack(docs_of(rows)).collect():
+            tasks.setdefault(r["sequence_id"] >> 40, set()).add(r["doc_id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) > 1 and max(map(len, tasks.values())) < 600
+    assert set().union(*tasks.values()) == set(range(900))
+
+
+def test_greedy_order_by_brute_force():
+    """Each next document is the unused one of highest score for the seed, and what overflows a window is the next seed."""
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(1, 60, rng.integers(3, 40)).astype(np.uint16) for _ in range(40)]
+    idf = np.log1p(np.arange(1 << 16) % 7 + 1.0)
+    shard, lengths, window = Shard(docs, idf, 20.0), [len(d) + 1 for d in docs], 64
+
+    def score(seed, d):
+        total = 0
+        for t in set(docs[seed].tolist()):
+            f = int((docs[d] == t).sum())
+            total += round(float(idf[t]) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(docs[d]) / 20.0)) * 2**30) if f else 0
+        return total
+
+    unused, expected, at, seed = list(range(40)), [], 0, 0
+    while unused:
+        if at % window == 0:
+            d = seed = unused[0]
+        else:
+            best = max(score(seed, d) for d in unused)
+            d = next(d for d in unused if score(seed, d) == best) if best else unused[0]
+        unused.remove(d)
+        expected.append(d)
+        if at // window != (at + lengths[d] - 1) // window:
+            seed = d
+        at += lengths[d]
+    assert shard.order(lengths, window) == expected
