@@ -1,13 +1,13 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-A code is the signs of an embedding (bit 1 where a component is greater than 0), 64 bits a word. It is cut into segments of 16
-bits, each with an index of its own. A query looks up segment values within radius 0, 1, 2 ... of its own, a segment at a time,
+A code is the signs of an embedding (bit 1 where a component is greater than 0), 64 bits a word. It is cut into segments of 8
+bits in shards of up to SMALL distinct codes and of 16 in others (near the logarithm of their number), each with an index of its own. A query looks up segment values within radius 0, 1, 2 ... of its own, a segment at a time,
 and verifies full distances. After segment j (from 0) of m at radius r every code within m * r + j is known; the query ends when
-that covers its kth verified distance. Ties go to the lesser id. When the next radius has more values than the shard has codes,
-the rest of the shard is verified whole. Equal codes are one entry with its k least ids, so copies are no burden.
+that covers its kth verified distance. Ties go to the lesser id. When the next radius has more values than the shard has codes
+(never with segments of 8 bits), the rest of the shard is verified whole. Equal codes are one entry with its k least ids, so copies are no burden.
 
 Codes are sharded by hash of id (SHARD_CODES each); queries are streamed against each shard in blocks, from a sorted partition:
-memory is a shard's. Each shard gives k rows a query, of which the best k are kept.
+memory is a shard's. Where shards are fewer than cores, up to COPIES groups of queries share them out, each with a copy of the codes. Each shard gives k rows a query, of which the best k are kept.
 
 Cases: a null embedding is neither searched nor found, NaN and missing components are bit 0; rows that repeat an id are found as
 often as they stand; with fewer than k codes all are returned; an empty table gives none.
@@ -15,6 +15,7 @@ often as they stand; with fewer than k codes all are returned; an empty table gi
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import limit_batches, tidy
 
-SHARD_CODES, BLOCK, SEGMENT = 1 << 20, 64, 16
+SHARD_CODES, BLOCK, SMALL, COPIES = 1 << 20, 64, 1 << 12, 8
 
 
 def encode(column: pa.Array, words: int) -> np.ndarray:
@@ -40,8 +41,9 @@ def encode(column: pa.Array, words: int) -> np.ndarray:
     return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
 
 
-def _masks(r: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in c) for c in combinations(range(SEGMENT), r)], np.int64)
+@cache
+def _masks(bits: int, r: int) -> np.ndarray:
+    return np.array([sum(1 << b for b in c) for c in combinations(range(bits), r)], np.int64)
 
 
 class MultiIndex:
@@ -56,22 +58,26 @@ class MultiIndex:
         self.codes, self.k = codes[start], k
         self.ids, self.first = ids, start
         self.size = np.minimum(np.diff(np.append(start, len(codes))), k)
-        segments = self.codes.view(np.uint16).astype(np.int64) if len(codes) else np.zeros((0, 4), np.int64)
-        self.m = codes.shape[1] * 4
+        self.bits = 8 if len(self.codes) <= SMALL else 16
+        self.kind = np.uint8 if self.bits == 8 else np.uint16
+        self.m = codes.shape[1] * 64 // self.bits
+        segments = self.codes.view(self.kind).astype(np.int64) if len(codes) else np.zeros((0, self.m), np.int64)
+        self.scans = 0  # queries that the index didn't end
         self.order = [np.argsort(segments[:, j], kind="stable") for j in range(self.m)]
-        self.starts = [np.searchsorted(segments[self.order[j], j], np.arange((1 << SEGMENT) + 1)) for j in range(self.m)]
+        self.starts = [np.searchsorted(segments[self.order[j], j], np.arange((1 << self.bits) + 1)) for j in range(self.m)]
         self.segments = segments
 
     def search(self, queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(distances, ids) of the k nearest of each query, by distance and id."""
         n, m = len(queries), self.m
-        qs = queries.view(np.uint16).astype(np.int64).reshape(n, m)
+        qs = queries.view(self.kind).astype(np.int64).reshape(n, m)
         found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
         count = np.zeros((n, 64 * queries.shape[1] + 1), np.int64)
         live = np.arange(n)
-        for r in range(SEGMENT + 1):
-            masks = _masks(r)
-            if len(masks) * m > max(64, len(self.codes)):
+        for r in range(self.bits + 1):
+            masks = _masks(self.bits, r)
+            if len(masks) * m > max(SMALL, len(self.codes)):
+                self.scans += len(live)
                 for q in live:
                     d = np.bitwise_count(self.codes ^ queries[q]).sum(1).astype(np.int64)
                     found[q] = [(d, np.arange(len(d)))]
@@ -150,7 +156,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     words = max(1, -(-width // 64))
     shards = max(1, -(-n // SHARD_CODES))
     # with few shards, groups of queries make more work to share out; each takes the shards' codes once more
-    groups = max(1, min(-(-n_queries // BLOCK), 2 * spark.sparkContext.defaultParallelism // shards))
+    groups = max(1, min(-(-n_queries // BLOCK), 2 * spark.sparkContext.defaultParallelism // shards, COPIES))
 
     def coded(batches):
         for batch in batches:

@@ -53,3 +53,34 @@ def test_codes():
     import pyarrow as pa
 
     assert encode(pa.array([[1.0, -1.0, 0.5], None, []]), 1).tolist() == [[5], [0], [0]]
+
+
+@pytest.mark.parametrize(("n", "near", "bits"), [(500, 0, 8), (2000, 0, 8), (4096, 12, 8), (20_000, 6, 16), (60_000, 10, 16)])
+def test_the_index_ends_every_query(n, near, bits):
+    """No scan: codes at random where segments have 8 bits, codes around centres where they have 16."""
+    rng = np.random.default_rng(n)
+    codes = rng.integers(0, 1 << 63, (n // 20 if near else n, 1), dtype=np.uint64)
+    if near:
+        codes = np.repeat(codes, 20, 0)
+        for _ in range(near):
+            codes ^= np.where(rng.random(codes.shape) < 0.5, np.uint64(1) << rng.integers(0, 63, codes.shape).astype(np.uint64), np.uint64(0))
+    ids = rng.permutation(len(codes))
+    index = MultiIndex(codes, ids, 10)
+    assert index.bits == bits
+    queries = codes[:40]
+    for q, (d, found) in zip(queries, index.search(queries), strict=True):
+        assert list(zip(d.tolist(), found.tolist(), strict=True)) == brute(codes, ids, q, 10)
+    assert index.scans == 0
+
+
+def test_search_of_many_codes(spark):
+    """20,000 codes in one shard, over whose copies groups of queries are spread."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(500, 64))
+    vectors = [(i, [float(x) for x in centres[i % 500] + rng.normal(size=64) * 0.1]) for i in range(20_000)]
+    rows = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {}
+    for r in top_k(rows, rows.where("vec_id % 500 = 7"), k=10).collect():
+        got.setdefault(r["query_id"], []).append((r["distance"], r["neighbor_id"]))
+    codes = np.stack([np.packbits(np.array(v) > 0, bitorder="little").view(np.uint64) for _, v in vectors])
+    assert len(got) == 40 and all(sorted(f) == brute(codes, np.arange(20_000), codes[q], 10) for q, f in got.items())
