@@ -1,4 +1,10 @@
-"""A corpus pipeline of five of the subpackage's operators; each stage works on all that its predecessor kept."""
+"""A corpus pipeline of five of the subpackage's operators; each stage works on all that its predecessor kept.
+
+Cases: a null or empty text is scored as an empty one by the first stage and passes the three after it as it is; a row without
+doc_id counts in no group of lines or copies and stays, but loses hot lines; rows that repeat a doc_id are each judged by their own
+text; empty tables give an empty result, and without labels of both kinds or without benchmark items nothing is rejected by these
+stages (unless all labels are 0). Columns of any other name go along as they are. All but the last stage return the columns of docs.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domquarry.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from domquarry.llm.common import materialize, table
+from domquarry.llm.common import materialize, table, unused
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,10 +22,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    aside = {c: unused(f"_{c}", docs.columns) for c in ("kept_text", "n_lines", "n_dropped") if c in docs.columns}
+    out = line_dedup.dedup_lines(docs.withColumnsRenamed(aside))
     text = F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.col("kept_text"))
-    made = {"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept_text")).otherwise(F.col("n_chars"))}
-    return out.select(*(made[c].cast(docs.schema[c].dataType).alias(c) if c in made else F.col(c) for c in docs.columns))
+    made = {"text": text} | ({"n_chars": F.when(F.col("n_dropped") > 0, F.length("kept_text")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return out.select(*(made[c].cast(docs.schema[c].dataType).alias(c) if c in made else F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
