@@ -124,12 +124,22 @@ class Shard:
         best = int(score.argmax())
         return best if score[best] > 0 else -1
 
+    def _compact(self, unused: np.ndarray) -> None:
+        """Takes used documents out of the index."""
+        keep = unused[self.doc]
+        self.first = np.append(0, np.cumsum(keep))[self.first]
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
+
     def order(self, lengths: list[int], window: int) -> list[int]:
-        """Documents in the order in which they fill windows."""
+        """Documents in the order in which they fill windows. The index shrinks with the documents that are left."""
         unused = np.ones(self.n, bool)
         out: list[int] = []
         at = seed = 0
+        held = self.n
         for i in range(self.n):
+            if 4 * (self.n - i) < 3 * held:
+                held = self.n - i
+                self._compact(unused)
             if at % window == 0 or i == 0:
                 nxt = int(unused.argmax())
                 seed = nxt
