@@ -30,6 +30,8 @@ from .common import materialize, mix, tidy
 
 WINDOW, SHARD_DOCS, SHARD_TOKENS = 1024, 1024, 1 << 21
 K1, B = 1.2, 0.75
+#: Postings whose weights are summed at once.
+POSTINGS = 1 << 17
 END = 0
 
 
@@ -97,15 +99,15 @@ class Shard:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         sets = [_unique(x) for x in docs]
         self.terms = [s for s, _ in sets]
-        self.idf = idf
-        doc = np.repeat(np.arange(len(docs)), [len(s) for s in self.terms])
+        doc = np.repeat(np.arange(len(docs), dtype=np.int32), [len(s) for s in self.terms])
         term = np.concatenate(self.terms)
         tf = np.concatenate([t for _, t in sets]).astype(np.float64)
-        length = np.array([len(x) for x in docs], np.float64)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean, 1.0)))
+        del sets
+        norm = K1 * (1 - B + B * np.array([len(x) for x in docs], np.float64) / max(mean, 1.0))
+        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order].astype(np.int32), np.rint(weight[order] * (1 << 30))
-        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.doc, self.weight = doc[order], np.rint(weight[order] * (1 << 30))
+        self.first = np.append(0, np.cumsum(np.bincount(term, minlength=len(idf))))
         self.n = len(docs)
         self._scored, self._scores = -1, np.zeros(self.n)
 
@@ -114,8 +116,15 @@ class Shard:
         if seed != self._scored:
             terms = self.terms[seed].astype(np.int64)
             a, size = self.first[terms], self.first[terms + 1] - self.first[terms]
-            at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            self._scored, self._scores = seed, np.bincount(self.doc[at], self.weight[at], self.n)
+            upto = np.cumsum(size)
+            self._scored, self._scores = seed, np.zeros(self.n)
+            lo = 0
+            while lo < len(terms):  # POSTINGS at a time (one term at least), as a long seed has most of the index
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - size[lo] + POSTINGS, "right")))
+                n = size[lo:hi]
+                at = np.repeat(a[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                self._scores += np.bincount(self.doc[at], self.weight[at], self.n)
+                lo = hi
         return self._scores
 
     def neighbour(self, seed: int, unused: np.ndarray) -> int:
