@@ -39,7 +39,7 @@ def _unique(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids in order, and how often each stands."""
     s = np.sort(ids)
     edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-    return s[edge], np.diff(np.append(edge, len(s)))
+    return s[edge], np.diff(np.append(edge, len(s))).astype(np.int32)
 
 
 _DRAWS: list[np.ndarray] = [np.zeros((2, 0), np.float32)]
@@ -104,9 +104,19 @@ class Shard:
         tf = np.concatenate([t for _, t in sets]).astype(np.float64)
         del sets
         norm = K1 * (1 - B + B * np.array([len(x) for x in docs], np.float64) / max(mean, 1.0))
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        weight = idf[term]  # in place, as a shard may have two million postings: idf * tf * (K1 + 1) / (tf + norm)
+        weight *= tf
+        weight *= K1 + 1
+        tf += norm[doc]
+        weight /= tf
+        del tf
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], np.rint(weight[order] * (1 << 30))
+        self.doc = doc[order]
+        del doc
+        self.weight = weight[order]
+        del weight, order
+        self.weight *= 1 << 30
+        np.rint(self.weight, out=self.weight)
         self.first = np.append(0, np.cumsum(np.bincount(term, minlength=len(idf))))
         self.n = len(docs)
         self._scored, self._scores = -1, np.zeros(self.n)
@@ -191,7 +201,8 @@ def _packer(sent, wide: bool, window: int, with_ids: bool):
             nonlocal sequence
             lengths = [len(x) + 1 for x in held]
             order = Shard(held, idf, mean).order(lengths, window)
-            stream = np.concatenate([y for d in order for y in (held[d], [END])]).astype("<u4")
+            end = np.full(1, END, held[0].dtype)
+            stream = np.concatenate([y for d in order for y in (held[d], end)]).astype("<u4")
             ends = np.cumsum([lengths[d] for d in order])
             begins = ends - np.array([lengths[d] for d in order])
             points = cut_points(int(ends[-1]), window)
