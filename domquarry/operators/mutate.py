@@ -1,11 +1,13 @@
 """Changes to trees: each takes nodes and gives new nodes; trees are renumbered, with offsets, in one pass a document.
 
 Edits name nodes by (doc_id, node_id). An edit that needs no new numbers (attributes, classes) is a column expression. The others are rows
-of an edit table, applied in order inside one grouped operator: a document is rebuilt once however many edits it has.
+of an edit table, applied in order inside one operator over rows sorted by document: a document is rebuilt once however many edits it has.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,8 +74,8 @@ def _attrs(nodes: DataFrame, attrs: Column, where: Column | None) -> DataFrame:
 EDIT = "doc_id long, seq int, op string, node_id int, at int, other int, spec struct<kind:string,tag:string,attrs:map<string,string>,data:string,public_id:string,system_id:string>"
 
 
-def edits(of: DataFrame, op: str, at: int | None = None, other: Column | None = None, spec: dict | None = None, seq: int = 0) -> DataFrame:
-    """The same edit for each row of ``of``. Ops: append, insert, replace, remove, remove_at, remove_children, set_text, insert_text, wrap, move, set_root, set_doctype."""
+def edit(op: str, node_id: Column | int | str = "node_id", at: int | None = None, other: Column | None = None, spec: dict | None = None, seq: int = 0) -> list[Column]:
+    """The columns of EDIT but doc_id. Ops: append, insert, replace, remove, remove_at, remove_children, set_text, insert_text, wrap, move, set_root, set_doctype."""
     kind = "struct<kind:string,tag:string,attrs:map<string,string>,data:string,public_id:string,system_id:string>"
     made = F.lit(None).cast(kind)
     if spec is not None:
@@ -81,17 +83,22 @@ def edits(of: DataFrame, op: str, at: int | None = None, other: Column | None =
         attrs = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
         made = F.struct(F.lit(spec["kind"]), F.lit(spec.get("tag")), attrs, F.lit(spec.get("data")), F.lit(spec.get("public_id")), F.lit(spec.get("system_id"))).cast(kind)
     other = F.lit(None) if other is None else other
-    return of.select("doc_id", F.lit(seq).alias("seq"), F.lit(op).alias("op"), "node_id", F.lit(at).cast("int").alias("at"), other.cast("int").alias("other"), made.alias("spec"))
+    node_id = F.col(node_id) if isinstance(node_id, str) else F.lit(node_id)
+    return [F.lit(seq).alias("seq"), F.lit(op).alias("op"), node_id.alias("node_id"), F.lit(at).cast("int").alias("at"), other.cast("int").alias("other"), made.alias("spec")]
 
 
-def tree_of(rows: list[dict]) -> dict[int, Node]:
-    """The tree of a document's rows in order of node_id, by node_id."""
+def edits(of: DataFrame, op: str, at: int | None = None, other: Column | None = None, spec: dict | None = None, seq: int = 0) -> DataFrame:
+    """The same edit for each row of ``of``."""
+    return of.select("doc_id", *edit(op, "node_id", at, other, spec, seq))
+
+
+def tree_of(rows: list[tuple]) -> dict[int, Node]:
+    """The tree of a document's rows of TREE in order of node_id, by node_id."""
     by: dict[int, Node] = {}
-    for r in rows:
-        attrs = {a["name"]: a["value"] for a in r["attrs"]} if r["attrs"] is not None else None
-        node = by[r["node_id"]] = Node(r["node_type"], r["tag"], r["ns"], attrs, r["data"], r["public_id"], r["system_id"])
-        if r["parent_id"] is not None:
-            by[r["parent_id"]].append(node)
+    for node_id, parent_id, *own in rows:
+        node = by[node_id] = Node(*own)
+        if parent_id is not None:
+            by[parent_id].append(node)
     return by
 
 
@@ -160,39 +167,99 @@ def apply_edit(by: dict[int, Node], e: dict) -> None:
 
 
 _PLAIN = "doc_id long, " + ", ".join(f"{f} {_DDL[f]}" for f in FIELDS)
-
-
-def _table(doc_id: int, flat: list[list]) -> pa.Table:
-    columns = [pa.array([doc_id] * len(flat), pa.int64())]
-    for i, f in enumerate(FIELDS):
-        values = [r[i] for r in flat]
-        columns.append(pa.array([None if v is None else [{"name": k, "value": x} for k, x in v.items()] for v in values], _ATTRS) if f == "attrs" else pa.array(values, _TYPES[f]))
-    return pa.Table.from_arrays(columns, ["doc_id", *FIELDS])
+#: What a tree is made of, as Node takes it after the two numbers; the other columns are made anew.
+TREE = "node_id parent_id node_type tag ns attrs data public_id system_id".split()
+
+
+def _attr_dicts(column: pa.ListArray) -> list[dict[str, str] | None]:
+    names, values, at = column.values.field("name").to_pylist(), column.values.field("value").to_pylist(), column.offsets.to_pylist()
+    return [dict(zip(names[lo:hi], values[lo:hi], strict=True)) if known else None for known, lo, hi in zip(column.is_valid().to_pylist(), at, at[1:], strict=False)]
+
+
+def _documents(batches) -> Iterator[tuple[int, list[tuple], list[dict]]]:
+    """doc_id, rows of TREE and edits of each document; batches are in order of document, and a document may begin in one and end in another."""
+    doc_id, rows, own = None, [], []
+    for batch in batches:
+        columns = [_attr_dicts(batch.column(name)) if name == "attrs" else batch.column(name).to_pylist() for name in batch.schema.names]
+        for of, *row in zip(*columns, strict=True):
+            if of != doc_id:
+                if rows:
+                    yield doc_id, rows, own
+                doc_id, rows, own = of, [], []
+            if len(row) > len(TREE) and row[-1] is not None:
+                own.append(row[-1])
+            else:
+                rows.append(row[: len(TREE)])
+    if rows:
+        yield doc_id, rows, own
+
+
+def _node_batches(trees: Iterator[tuple[int, Node]]) -> Iterator[pa.RecordBatch]:
+    def batch():
+        columns = [pa.array(ids, pa.int64())]
+        for i, f in enumerate(FIELDS):
+            values = [r[i] for r in flat]
+            columns.append(pa.array([None if v is None else [{"name": k, "value": x} for k, x in v.items()] for v in values], _ATTRS) if f == "attrs" else pa.array(values, _TYPES[f]))
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", *FIELDS])
+
+    ids, flat = [], []
+    for doc_id, root in trees:
+        own = flatten(root)[0]
+        ids += [doc_id] * len(own)
+        flat += own
+        if len(flat) >= 4096:
+            yield batch()
+            ids, flat = [], []
+    if flat:
+        yield batch()
+
+
+def _markup_batches(trees: Iterator[tuple[int, Node]]) -> Iterator[pa.RecordBatch]:
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(htmls, pa.string()), pa.array(texts, pa.string())], ["doc_id", "html", "text"])
+
+    ids, htmls, texts, size = [], [], [], 0
+    for doc_id, root in trees:
+        _, text, html = flatten(root)
+        ids.append(doc_id)
+        htmls.append(html)
+        texts.append(text)
+        size += len(html)
+        if len(ids) >= 4096 or size >= 1 << 20:
+            yield batch()
+            ids, htmls, texts, size = [], [], [], 0
+    if ids:
+        yield batch()
+
+
+def _rebuilt(nodes: DataFrame, change: Callable[[dict[int, Node], list[dict]], None], out: Callable, ddl: str, changes: DataFrame | None = None) -> DataFrame:
+    """Rebuilds each document's tree, edits it and puts it out. One exchange by document brings its rows together, and its edits before them
+    (they have no node_id); then a partition is one sorted stream: a group a document would cost far more than a small document's edits."""
+    rows = nodes.select(F.col("doc_id").cast("long"), *TREE)
+    if changes is not None:
+        own = F.struct("seq", "op", F.col("node_id").alias("target"), "at", "other", "spec")
+        own = changes.select(F.col("doc_id").cast("long"), *(F.lit(None).cast(_DDL[f]).alias(f) for f in TREE), own.alias("edit"))
+        rows = own.union(rows.withColumn("edit", F.lit(None).cast(own.schema["edit"].dataType)))
+
+    def trees(batches):
+        for doc_id, tree, own in _documents(batches):
+            by = tree_of(tree)
+            change(by, own)
+            yield doc_id, by[tree[0][0]]
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "node_id").mapInArrow(lambda batches: out(trees(batches)), ddl)
+
+
+def _apply_own(by: dict[int, Node], own: list[dict]) -> None:
+    for e in sorted(own, key=lambda e: (e["seq"], e["target"])):
+        if e["spec"]:
+            e["spec"]["attrs"] = dict(e["spec"]["attrs"] or [])
+        apply_edit(by, e)
 
 
 def apply_edits(nodes: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """nodes with the edits applied in order of seq, renumbered and with new offsets. Documents stay on one task each."""
-    plain = nodes.select(F.col("doc_id").cast("long"), *FIELDS)
-
-    def rebuilt(rows: list[dict], own: list[dict]) -> pa.Table:
-        rows.sort(key=lambda r: r["node_id"])
-        by = tree_of(rows)
-        root = by[rows[0]["node_id"]]
-        for e in sorted(own, key=lambda e: (e["seq"], e["target"])):
-            if e["spec"]:
-                e["spec"]["attrs"] = dict(e["spec"]["attrs"] or [])
-            apply_edit(by, e)
-        return _table(rows[0]["doc_id"], flatten(root)[0])
-
-    if changes is None:
-        return with_lookups(plain.groupBy("doc_id").applyInArrow(lambda table: rebuilt(table.to_pylist(), []), _PLAIN))
-    # other names than the nodes' own: both sides may come from one table, and a cogroup tells columns apart by identity
-    changes = changes.select(F.col("doc_id").cast("long").alias("_doc"), "seq", "op", F.col("node_id").alias("target"), "at", "other", "spec")
-
-    def both(left, right):
-        return rebuilt(left.to_pylist(), right.to_pylist()) if left.num_rows else _table(0, [])
-
-    return with_lookups(plain.groupBy("doc_id").cogroup(changes.groupBy("_doc")).applyInArrow(both, _PLAIN))
+    return with_lookups(_rebuilt(nodes, _apply_own, _node_batches, _PLAIN, changes))
 
 
 def edit_html(df: DataFrame, selector: Selector | str, op: str, at: int | None = None, spec: dict | None = None, html: str = "html", id_col: str = "doc_id", fields: list[str] = FIELDS, partitions="auto") -> Parsed:
@@ -212,17 +279,13 @@ def edit_html(df: DataFrame, selector: Selector | str, op: str, at: int | None =
 def edit_matches(nodes: DataFrame, selector: Selector | str, op: str, at: int | None = None, spec: dict | None = None) -> DataFrame:
     """The same edit for every element that matches, found on the tree that is rebuilt anyway: nodes are read and exchanged once."""
     selector = Selector.of(selector)
-    plain = nodes.select(F.col("doc_id").cast("long"), *FIELDS)
 
-    def rebuilt(table):
-        rows = sorted(table.to_pylist(), key=lambda r: r["node_id"])
-        by, match = tree_of(rows), Matcher(selector)
-        root = by[rows[0]["node_id"]]
+    def change(by: dict[int, Node], _own: list[dict]) -> None:
+        match = Matcher(selector)
         for i in [i for i, node in by.items() if node.kind == "element" and match.matches(node)]:
             apply_edit(by, {"target": i, "op": op, "at": at, "other": None, "spec": spec})
-        return _table(rows[0]["doc_id"], flatten(root)[0])
 
-    return with_lookups(plain.groupBy("doc_id").applyInArrow(rebuilt, _PLAIN))
+    return with_lookups(_rebuilt(nodes, change, _node_batches, _PLAIN))
 
 
 def remove_nodes(nodes: DataFrame, of: DataFrame) -> DataFrame:
@@ -275,13 +338,6 @@ def copy_rows(of: DataFrame) -> DataFrame:
     return of.select("doc_id", "node_type", "tag", F.when(F.col("node_type") == "element", "html").alias("ns"), "attrs", "data", "public_id", "system_id")
 
 
-def serialize(nodes: DataFrame) -> DataFrame:
-    """doc_id, html and text of whole trees, folded from their rows; for trees whose docs row is out of date."""
-
-    def fold(table):
-        rows = sorted(table.to_pylist(), key=lambda r: r["node_id"])
-        _, text, html = flatten(tree_of(rows)[rows[0]["node_id"]])
-        return pa.table({"doc_id": pa.array([rows[0]["doc_id"]], pa.int64()), "html": [html], "text": [text]})
-
-    needed = nodes.select(F.col("doc_id").cast("long"), "node_id", "parent_id", "node_type", "tag", "ns", "attrs", "data", "public_id", "system_id")
-    return needed.groupBy("doc_id").applyInArrow(fold, "doc_id long, html string, text string")
+def serialize(nodes: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """doc_id, html and text of whole trees, folded from their rows; for trees whose docs row is out of date. With edits, of the edited trees."""
+    return _rebuilt(nodes, _apply_own, _markup_batches, "doc_id long, html string, text string", changes)
