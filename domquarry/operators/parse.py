@@ -192,59 +192,82 @@ def empty_document() -> Node:
     return Node("document")
 
 
-_TOKEN = "seq int, kind string, name string, attrs array<struct<name:string,value:string>>, self_closing boolean, data string, public_id string, system_id string, force_quirks boolean, error string"
+_TOKEN = {
+    "seq": "int", "kind": "string", "name": "string", "attrs": _DDL["attrs"], "self_closing": "boolean", "data": "string", "public_id": "string", "system_id": "string",
+    "force_quirks": "boolean", "error": "string",
+}
+_ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), _DDL["attrs"]: _ATTRS}
+#: Where a token has what a column is made of; a column that a kind lacks is null.
+_PLACES = {"start": {"name": 1, "attrs": 2, "self_closing": 3}, "doctype": {"name": 1, "public_id": 2, "system_id": 3, "force_quirks": 4}, "error": {"error": 1}, "chars": {"data": 1}, "comment": {"data": 1}}
+_PLACES["end"] = _PLACES["start"]
 
 
-def _token_row(seq: int, t: tuple) -> dict:
-    row = dict.fromkeys(("name", "attrs", "self_closing", "data", "public_id", "system_id", "force_quirks", "error")) | {"seq": seq, "kind": t[0]}
-    if t[0] in ("start", "end"):
-        row |= {"name": t[1], "attrs": [{"name": k, "value": v} for k, v in t[2].items()], "self_closing": t[3]}
-    elif t[0] == "doctype":
-        row |= {"name": t[1], "public_id": t[2], "system_id": t[3], "force_quirks": t[4]}
-    else:
-        row["error" if t[0] == "error" else "data"] = t[1]
-    return row
+def _attr_list(attrs: dict[str, str]) -> list[dict[str, str]]:
+    return [{"name": k, "value": v} for k, v in attrs.items()]
 
 
-def tokenize_html(df: DataFrame, html: str = "html", id_col: str = "doc_id", state: str = "data", last_start_tag: str | None = None, partitions: int | str | None = "auto") -> DataFrame:
-    """doc_id and tokens, errors among them; without a tree builder the tokenizer stays in the state it is given."""
-    kind = pa.struct(
-        [("seq", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("attrs", _ATTRS), ("self_closing", pa.bool_()), ("data", pa.string()), ("public_id", pa.string()), ("system_id", pa.string()), ("force_quirks", pa.bool_()), ("error", pa.string())]
-    )
+def _flat(found, columns: dict[str, str]):
+    """Batches of a few thousand rows from a function that gives a page's rows one by one: neither a batch of pages nor a page is ever kept as rows as a whole."""
+    names, types = list(columns), [_ARROW[t] for t in columns.values()]
 
-    def run(batches):
-        for batch in batches:
-            lists = [[_token_row(i, t) for i, t in enumerate(Tokenizer(s, state, last_start_tag))] for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(kind))], ["doc_id", "tokens"])
+    def batch(ids, at, rows):
+        made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int32())), *made], ["doc_id", *names])
 
+    def run(batches):
+        for pages in batches:
+            ids, html = pages.column(0), pages.column(1)
+            at, rows, size = [], [], 0
+            for i in range(pages.num_rows):
+                for row, n in found(html[i].as_py()):
+                    at.append(i)
+                    rows.append(row)
+                    size += n
+                    if len(rows) >= 4096 or size >= 4 << 20:
+                        yield batch(ids, at, rows)
+                        at, rows, size = [], [], 0
+            if rows:
+                yield batch(ids, at, rows)
+
+    return run
+
+
+def _flat_rows(df: DataFrame, html: str, id_col: str, partitions, found, columns: dict[str, str]) -> DataFrame:
     source = _spread(df, id_col, partitions).select(F.col(id_col).alias("doc_id"), html).where(F.col(html).isNotNull())
-    ddl = "array<struct<" + ",".join(x.replace(" ", ":", 1) for x in _TOKEN.split(", ")) + ">>"
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, tokens {ddl}").select("doc_id", F.inline("tokens"))
+    ddl = "".join(f", {k} {t}" for k, t in columns.items())
+    return source.mapInArrow(_flat(found, columns), f"doc_id {source.schema['doc_id'].dataType.simpleString()}{ddl}")
+
+
+def tokenize_html(
+    df: DataFrame, html: str = "html", id_col: str = "doc_id", state: str = "data", last_start_tag: str | None = None, partitions: int | str | None = "auto", fields: list[str] | None = None
+) -> DataFrame:
+    """doc_id and tokens, errors among them; without a tree builder the tokenizer stays in the state it is given. fields: the columns of tokens that leave the task."""
+    columns = {k: t for k, t in _TOKEN.items() if fields is None or k in fields}
+
+    def found(page: str):
+        for seq, t in enumerate(Tokenizer(page, state, last_start_tag)):
+            at, row = _PLACES[t[0]], []
+            for k in columns:
+                row.append(seq if k == "seq" else t[0] if k == "kind" else None if k not in at else _attr_list(t[at[k]]) if k == "attrs" else t[at[k]])
+            yield row, len(t[1] or "")
+
+    return _flat_rows(df, html, id_col, partitions, found, columns)
 
 
 def select_html(df: DataFrame, selector: Selector | str, html: str = "html", id_col: str = "doc_id", first: bool = False, partitions: int | str | None = "auto") -> DataFrame:
     """doc_id, node_id, tag, attrs, text and html of the matching elements, in one pass and without a shuffle of nodes."""
     selector = Selector.of(selector)
-    kind = pa.struct([("node_id", pa.int32()), ("tag", pa.string()), ("attrs", _ATTRS), ("text", pa.string()), ("html", pa.string())])
 
-    def run(batches):
-        for batch in batches:
-            lists = []
-            for s in batch.column(1).to_pylist():
-                builder = parse_string(s)[0]
-                match, found = Matcher(selector), []
-                for i, node in enumerate(preorder(builder.document)):
-                    if node.kind == "element" and match.matches(node):
-                        _, text, outer = flatten(_detached(node))
-                        found.append({"node_id": i, "tag": node.tag, "attrs": [{"name": k, "value": v} for k, v in node.attrs.items()], "text": text, "html": outer})
-                        if first:
-                            break
-                lists.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(kind))], ["doc_id", "found"])
+    def found(page: str):
+        builder, match = parse_string(page)[0], Matcher(selector)
+        for i, node in enumerate(preorder(builder.document)):
+            if node.kind == "element" and match.matches(node):
+                _, text, outer = flatten(_detached(node))
+                yield (i, node.tag, _attr_list(node.attrs), text, outer), len(text) + len(outer)
+                if first:
+                    break
 
-    source = _spread(df, id_col, partitions).select(F.col(id_col).alias("doc_id"), html).where(F.col(html).isNotNull())
-    ddl = "array<struct<node_id:int,tag:string,attrs:array<struct<name:string,value:string>>,text:string,html:string>>"
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, found {ddl}").select("doc_id", F.inline("found"))
+    return _flat_rows(df, html, id_col, partitions, found, {"node_id": "int", "tag": "string", "attrs": _DDL["attrs"], "text": "string", "html": "string"})
 
 
 class _View:

@@ -240,7 +240,7 @@ def tag_histogram(spark, sf_dir):
 @query("SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS name FROM pages) GROUP BY name")
 def start_tokens(spark, sf_dir):
     """Start tags of the token stream; styles and scripts hold none."""
-    return tokenize_html(_pages(spark, sf_dir), id_col="page_id").where("kind = 'start'").groupBy("name").agg(F.count("*").alias("n"))
+    return tokenize_html(_pages(spark, sf_dir), id_col="page_id", fields=["kind", "name"]).where("kind = 'start'").groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, 'UTF-8' AS encoding, 'certain' AS encoding_confidence, " + _UNESCAPE.format("regexp_extract(html, '<title>([^<]*)</title>', 1)") + " AS title FROM pages")

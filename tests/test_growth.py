@@ -1,9 +1,10 @@
 """What keeps queries in proportion to their input: plans without a Python group a document, small batches, pages parsed once."""
 
+import pyarrow as pa
 import pytest
 
 import __spark_entry__
-from domquarry.operators import mutate
+from domquarry.operators import mutate, parse
 from domquarry.operators.parse import parse_html
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,38 @@ def test_edits_over_small_batches(spark, small_batches):
     assert {r["doc_id"]: r["html"] for r in edited.collect()} == {n: f"<html><head></head><body><p>{n}<b>x</b>{end.get(n, '')}</p></body></html>" if n else "<html><head></head><body><p>0<b>x</b></p></body></html>" for n in range(7)}
     again = mutate.serialize(mutate.apply_edits(nodes, changes))
     assert again.exceptAll(edited).count() == edited.exceptAll(again).count() == 0
+
+
+class Caught(Exception):
+    pass
+
+
+@pytest.mark.parametrize("use", [lambda df: parse.tokenize_html(df, partitions=None), lambda df: parse.select_html(df, "b", partitions=None)])
+def test_rows_leave_in_small_batches(spark, monkeypatch, use):
+    """Neither the rows of a batch of pages nor those of one page are held together, so memory doesn't grow with either."""
+    ran = []
+
+    def catch(df, run, ddl):
+        ran.append((run, ddl))
+        raise Caught
+
+    df = spark.createDataFrame([(1, "x")], "doc_id long, html string")
+    monkeypatch.setattr(type(df), "mapInArrow", catch)
+    with pytest.raises(Caught):
+        use(df)
+    pages = pa.RecordBatch.from_pydict({"doc_id": [7, 8, 9], "html": ["<b></b>" * 10_000, "", "<b></b>" * 5]})
+    batches = list(ran[0][0](iter([pages])))
+    assert max(b.num_rows for b in batches) <= 4096 and set(batches[0].column(0).to_pylist()) == {7}
+    per = 10_005 * (2 if "kind" in ran[0][1] else 1)
+    assert sum(b.num_rows for b in batches) == per and batches[-1].column(0)[-1].as_py() == 9
+    large = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "html": ["<b>" + "x" * (5 << 20) + "</b>"] * 3})
+    assert len(list(ran[0][0](iter([large])))) >= 3
+
+
+def test_tokens_of_chosen_columns(spark):
+    df = spark.createDataFrame([(1, "<!doctype html><p a=1>x</p><!--c-->&#0;")], "doc_id long, html string")
+    whole, some = parse.tokenize_html(df), parse.tokenize_html(df, fields=["kind", "name"])
+    assert some.columns == ["doc_id", "kind", "name"]
+    assert sorted(map(repr, some.collect())) == sorted(map(repr, whole.select("doc_id", "kind", "name").collect()))
+    rows = {r["kind"]: r for r in whole.collect()}
+    assert rows["start"]["attrs"][0]["value"] == "1" and rows["doctype"]["force_quirks"] is False and rows["comment"]["data"] == "c" and rows["error"]["error"]
