@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .functions.entities import html_unescape
 from .operators import mutate
-from .operators.parse import Parsed, attr, has_class, parse_html, parse_html_bytes, tokenize_html
-from .operators.select import child_at, child_elements, children, descendants, describe_tree, index_of_child, parent, select_first, text_components, with_match
+from .operators.parse import Parsed, attr, class_in, parse_html, parse_html_bytes, tokenize_html
+from .operators.select import children_of, elements_of, index_in, outline_of, parent_of, select_first, subtree_of, texts_of, with_match
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -443,39 +443,33 @@ _OUTLINE = """#document
                 <i class="x y">"""
 
 
-def _label() -> Column:
-    return F.coalesce("tag", "data")
-
-
-def _listed(rows: DataFrame, order: str, what: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, what.alias("x")))), lambda x: x["x"]), " ")
-
-
 def _walks(spark, sf_dir):
-    """One row a kind of walk from the div, as a list of tags and texts."""
-    nodes = _parsed(spark, sf_dir, [_WALK]).nodes
-    div = nodes.where("tag = 'div'")
-    rows = {
-        "children": (children(nodes, div), "child_idx"),
-        "child elements": (child_elements(nodes, div), "child_idx"),
-        "child at 2": (child_at(nodes, div, 2), "child_idx"),
-        "child at 9": (child_at(nodes, div, 9), "child_idx"),
-        "parent": (parent(nodes, div), "node_id"),
-        "tree": (descendants(nodes, div), "position"),
-        "reversed tree": (descendants(nodes, div, reverse=True), "position"),
+    """One row a kind of walk from the div, as a list of tags and texts; all in the row of the page, which is parsed once."""
+    first = {tag: F.get(elements_of("nodes", tag), 0).alias(tag) for tag in ("div", "p", "b", "i")}
+    rows = _parsed(spark, sf_dir, [_WALK]).rows.select("doc_id", "nodes", *first.values())
+    div, p, b, i = map(F.col, first)
+    below = children_of("nodes", div)
+    walks = {
+        "children": below,
+        "child elements": F.filter(below, lambda n: n["node_type"] == "element"),
+        "child at 2": F.filter(below, lambda n: n["child_idx"] == 2),
+        "child at 9": F.filter(below, lambda n: n["child_idx"] == 9),
+        "parent": F.array(parent_of("nodes", div)),
+        "tree": subtree_of("nodes", div),
+        "reversed tree": subtree_of("nodes", div, reverse=True),
+    }
+    copied = mutate.copy_of(i)
+    # what is walked to, and whether there is a row for it
+    found = {name: (F.array_join(F.transform(nodes, lambda n: F.coalesce(n["tag"], n["data"])), " "), F.size(nodes) > 0) for name, nodes in walks.items()} | {
+        "index of i": (index_in(div, i).cast("string"), div.isNotNull()),
+        "index of b": (index_in(div, b).cast("string"), div.isNotNull()),
+        "texts of p": (F.array_join(texts_of("nodes", p), " "), p.isNotNull()),
+        "class y": (F.array_join(F.transform(F.filter("nodes", lambda n: class_in(n, "y") & ~class_in(n, "z")), lambda n: n["tag"]), " "), i.isNotNull()),
+        "copy of i": (F.concat(copied["node_type"], F.lit(" "), copied["tag"], F.lit(" "), F.get(copied["attrs"], 0)["value"]), i.isNotNull()),
+        "outline": (outline_of("nodes"), F.lit(True)),
     }
-    parts = [df.groupBy("doc_id").agg(_listed(df, order, _label()).alias("nodes")).withColumn("walk", F.lit(name)) for name, (df, order) in rows.items()]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    index = index_of_child(nodes, div, nodes.where("tag = 'i'")).select("doc_id", F.col("index").cast("string").alias("nodes"), F.lit("index of i").alias("walk"))
-    none = index_of_child(nodes, div, nodes.where("tag = 'b'")).select("doc_id", F.col("index").cast("string").alias("nodes"), F.lit("index of b").alias("walk"))
-    texts = text_components(nodes, nodes.where("tag = 'p'")).select("doc_id", F.array_join("components", " ").alias("nodes"), F.lit("texts of p").alias("walk"))
-    classes = nodes.where(has_class("y") & ~has_class("z")).select("doc_id", F.col("tag").alias("nodes"), F.lit("class y").alias("walk"))
-    copied = mutate.copy_rows(nodes.where("tag = 'i'")).select("doc_id", F.concat("node_type", F.lit(" "), "tag", F.lit(" "), F.element_at("attrs", 1)["value"]).alias("nodes"), F.lit("copy of i").alias("walk"))
-    for p in (index, none, texts, classes, copied, describe_tree(nodes).select("doc_id", F.col("outline").alias("nodes"), F.lit("outline").alias("walk"))):
-        every = every.unionByName(p)
-    return every.select(F.expr("doc_id div 1000").alias("page_id"), "walk", "nodes")
+    every = F.array(*(F.struct(F.lit(name).alias("walk"), nodes.alias("nodes"), row.alias("row")) for name, (nodes, row) in found.items()))
+    return rows.select("doc_id", F.inline(every)).where("row").select(F.expr("doc_id div 1000").alias("page_id"), "walk", "nodes")
 
 
 _WALKED = [

@@ -335,7 +335,18 @@ def set_document_type(nodes: DataFrame, spec: dict | None) -> DataFrame:
 
 def copy_rows(of: DataFrame) -> DataFrame:
     """Shallow copies: a node's own data without parent, children or place."""
-    return of.select("doc_id", "node_type", "tag", F.when(F.col("node_type") == "element", "html").alias("ns"), "attrs", "data", "public_id", "system_id")
+    return of.select("doc_id", *_copied(F.col))
+
+
+def copy_of(node: Column) -> Column:
+    """As copy_rows, for a node of Parsed.rows."""
+    return F.struct(*_copied(lambda name: node[name]))
+
+
+def _copied(of: Callable[[str], Column]) -> list[Column]:
+    own = {name: of(name) for name in ("node_type", "tag", "attrs", "data", "public_id", "system_id")}
+    own["ns"] = F.when(of("node_type") == "element", "html")
+    return [own[name].alias(name) for name in ("node_type", "tag", "ns", "attrs", "data", "public_id", "system_id")]
 
 
 def serialize(nodes: DataFrame, changes: DataFrame | None = None) -> DataFrame:

@@ -297,3 +297,9 @@ def attr(name: str) -> Column:
 
 def has_class(name: str) -> Column:
     return F.coalesce(F.array_contains("classes", name), F.lit(False))
+
+
+def class_in(node: Column, name: str) -> Column:
+    """As has_class, for a node of Parsed.rows."""
+    value = F.get(F.filter(node["attrs"], lambda a: a["name"] == "class"), 0)["value"]
+    return F.coalesce(F.array_contains(F.split(value, "[ \\t\\n\\r\\f]"), name), F.lit(False))

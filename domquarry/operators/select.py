@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.compiler import compile_selector
@@ -108,16 +110,62 @@ def _markup(nodes: DataFrame, docs: DataFrame, name: str, start: str, end: str)
     return nodes.join(h, "doc_id").withColumn(name, F.expr(f"substring(_html, {start} + 1, {end} - {start})")).drop("_html")
 
 
-def describe_tree(nodes: DataFrame) -> DataFrame:
-    """doc_id and an indented outline; texts are cut at 37 characters."""
-    data = F.when(F.length("data") > 37, F.concat(F.substring("data", 1, 37), F.lit("..."))).otherwise(F.col("data"))
-    attrs = F.array_join(F.transform("attrs", lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), a["value"], F.lit('"'))), "")
+def _outline_line(of: Callable[[str], Column]) -> Column:
+    """A node's line; ``of`` gives its columns by name."""
+    data = F.when(F.length(of("data")) > 37, F.concat(F.substring(of("data"), 1, 37), F.lit("..."))).otherwise(of("data"))
+    attrs = F.array_join(F.transform(of("attrs"), lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), a["value"], F.lit('"'))), "")
     label = (
-        F.when(F.col("node_type") == "element", F.concat(F.lit("<"), "tag", F.coalesce(attrs, F.lit("")), F.lit(">")))
-        .when(F.col("node_type") == "text", F.concat(F.lit('"'), data, F.lit('"')))
-        .when(F.col("node_type") == "comment", F.concat(F.lit("<!-- "), data, F.lit(" -->")))
-        .when(F.col("node_type") == "doctype", F.concat(F.lit("<!DOCTYPE "), "tag", F.lit(">")))
+        F.when(of("node_type") == "element", F.concat(F.lit("<"), of("tag"), F.coalesce(attrs, F.lit("")), F.lit(">")))
+        .when(of("node_type") == "text", F.concat(F.lit('"'), data, F.lit('"')))
+        .when(of("node_type") == "comment", F.concat(F.lit("<!-- "), data, F.lit(" -->")))
+        .when(of("node_type") == "doctype", F.concat(F.lit("<!DOCTYPE "), of("tag"), F.lit(">")))
         .otherwise(F.lit("#document"))
     )
-    line = F.struct("node_id", F.concat(F.expr("repeat('    ', depth)"), label).alias("line"))
+    return F.concat(F.repeat(F.lit("    "), of("depth")), label)
+
+
+def describe_tree(nodes: DataFrame) -> DataFrame:
+    """doc_id and an indented outline; texts are cut at 37 characters."""
+    line = F.struct("node_id", _outline_line(F.col).alias("line"))
     return nodes.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("outline"))
+
+
+# ---- the same within the row of a page, for Parsed.rows: ``nodes`` is its array in tree order, so an element stands at its node_id. A page is
+# parsed once for any number of walks and nothing is exchanged, where each of the above joins nodes with nodes.
+
+
+def elements_of(nodes: Column | str, tag: str) -> Column:
+    """The page's elements of that name."""
+    return F.filter(nodes, lambda n: (n["node_type"] == "element") & (F.lower(n["tag"]) == tag))
+
+
+def subtree_of(nodes: Column | str, of: Column, include_self: bool = True, reverse: bool = False) -> Column:
+    """The nodes of a subtree in tree order, or in that of a walk with last children first."""
+    skip = 0 if include_self else 1
+    rows = F.slice(nodes, of["node_id"] + F.lit(1 + skip), of["subtree_end"] - of["node_id"] + F.lit(1 - skip))
+    if not reverse:
+        return rows
+    return F.transform(F.array_sort(F.transform(rows, lambda n: F.struct(n["rev_id"].alias("at"), n.alias("n")))), lambda x: x["n"])
+
+
+def children_of(nodes: Column | str, of: Column) -> Column:
+    return F.filter(subtree_of(nodes, of, include_self=False), lambda n: n["parent_id"] == of["node_id"])
+
+
+def parent_of(nodes: Column | str, of: Column, name: str = "parent_id") -> Column:
+    """The parent, null if there is none; name: parent_el_id for the parent element."""
+    return F.get(nodes, of[name])
+
+
+def index_in(of: Column, child: Column) -> Column:
+    """Where the child stands among the children, null if it is none."""
+    return F.when(child["parent_id"] == of["node_id"], child["child_idx"])
+
+
+def texts_of(nodes: Column | str, of: Column) -> Column:
+    """An element's own texts, in order."""
+    return F.transform(F.filter(children_of(nodes, of), lambda n: n["node_type"] == "text"), lambda n: n["data"])
+
+
+def outline_of(nodes: Column | str) -> Column:
+    return F.array_join(F.transform(nodes, lambda n: _outline_line(lambda name: n[name])), "\n")

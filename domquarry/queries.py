@@ -11,7 +11,7 @@ from .functions.encodings import LABELS, encoding_for_label, encoding_of
 from .functions.entities import html_escape, html_unescape
 from .operators import mutate
 from .operators.parse import Parsed, attr, parse_fragment, parse_html, parse_html_bytes, select_html, tokenize_html
-from .operators.select import describe_tree, descendants, parent_element, select_all, select_first, text_components, with_match
+from .operators.select import elements_of, outline_of, select_all, select_first, subtree_of, texts_of, with_match
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -285,27 +285,30 @@ def relabelled_links(spark, sf_dir):
 SELECT page_id, CAST(14 + 3 * (i - 1) + j AS INTEGER) AS node_id, CAST(3 * (n - i) + j AS INTEGER) AS position, CASE j WHEN 0 THEN 'li' WHEN 1 THEN 'a' END AS tag
 FROM (SELECT page_id, n, unnest(range(1, n + 1)) AS i FROM l), (VALUES (0), (1), (2)) v(j)""")
 def reverse_walk(spark, sf_dir):
-    nodes = _parsed(spark, sf_dir).nodes
-    walk = descendants(nodes, select_all(nodes, "ul"), include_self=False, reverse=True)
-    return walk.select(F.col("doc_id").alias("page_id"), "node_id", "position", "tag")
+    rows = _parsed(spark, sf_dir, ["node_id", "subtree_end", "node_type", "tag", "rev_id"]).rows
+
+    def walk(ul):
+        return F.transform(subtree_of("nodes", ul, include_self=False, reverse=True), lambda n, i: F.struct(n["node_id"].alias("node_id"), i.alias("position"), n["tag"].alias("tag")))
+
+    return rows.select(F.col("doc_id").alias("page_id"), F.inline(F.flatten(F.transform(elements_of("nodes", "ul"), walk))))
 
 
 @query("SELECT page_id, 'ul' AS tag FROM pages WHERE contains(html, '<li>')")
 def parents_of_items(spark, sf_dir):
-    nodes = _parsed(spark, sf_dir).nodes
-    return parent_element(nodes, select_all(nodes, "li")).select(F.col("doc_id").alias("page_id"), "tag")
+    rows = _parsed(spark, sf_dir, ["node_id", "parent_el_id", "node_type", "tag"]).rows
+    above = F.filter(F.array_distinct(F.transform(elements_of("nodes", "li"), lambda li: li["parent_el_id"])), lambda i: i.isNotNull())
+    return rows.select(F.col("doc_id").alias("page_id"), F.explode(F.transform(above, lambda i: F.get("nodes", i)["tag"])).alias("tag"))
 
 
 @query(_extracted("<h1>([^<]*)</h1>", "part"))
 def heading_components(spark, sf_dir):
-    nodes = _parsed(spark, sf_dir).nodes
-    parts = text_components(nodes, select_all(nodes, "h1"))
-    return parts.select(F.col("doc_id").alias("page_id"), F.explode("components").alias("part"))
+    rows = _parsed(spark, sf_dir, ["node_id", "subtree_end", "parent_id", "node_type", "tag", "data"]).rows
+    return rows.select(F.col("doc_id").alias("page_id"), F.explode(F.flatten(F.transform(elements_of("nodes", "h1"), lambda h: texts_of("nodes", h)))).alias("part"))
 
 
 @query()
 def outlines(spark, sf_dir):
-    return describe_tree(_parsed(spark, sf_dir).nodes).withColumnRenamed("doc_id", "page_id")
+    return _parsed(spark, sf_dir, ["depth", "node_type", "tag", "attrs", "data"]).rows.select(F.col("doc_id").alias("page_id"), outline_of("nodes").alias("outline"))
 
 
 _ESCAPED = "text"

@@ -2,9 +2,10 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from domquarry.operators import mutate, parse
+from domquarry.operators import mutate, parse, select
 from domquarry.operators.parse import parse_html
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +75,49 @@ def test_tokens_of_chosen_columns(spark):
     assert sorted(map(repr, some.collect())) == sorted(map(repr, whole.select("doc_id", "kind", "name").collect()))
     rows = {r["kind"]: r for r in whole.collect()}
     assert rows["start"]["attrs"][0]["value"] == "1" and rows["doctype"]["force_quirks"] is False and rows["comment"]["data"] == "c" and rows["error"]["error"]
+
+
+@pytest.mark.parametrize("name", ["walks", "reverse_walk", "parents_of_items", "heading_components", "outlines"])
+def test_pages_are_parsed_once(spark, name):
+    text = plan(__spark_entry__.queries()[name](spark, SF))
+    assert text.count("MapInArrow") == 1 and "Join" not in text and "Aggregate" not in text
+
+
+def test_walks_in_a_row_are_those_of_the_tables(spark):
+    """On raw pages and on odd ones: no element of the name, several, one in another, two attributes named class by case."""
+    odd = ["<div><p>a<p>b<div>c<p CLASS='y z'>d</div>e</div><!--f-->", "<i>x</i>", "", "<p class=y><b>t</b>u" + "v" * 40]
+    pages = spark.createDataFrame([(n, t) for n, t in enumerate(odd, 900)], "doc_id long, html string").unionByName(spark.read.parquet(f"{SF}/pages.parquet").selectExpr("page_id doc_id", "html"))
+    parsed = parse_html(pages).cached()
+    n, rows = parsed.nodes, parsed.rows
+
+    def same(table, of_div):
+        got = rows.select("doc_id", F.inline(F.flatten(F.transform(select.elements_of("nodes", "div"), of_div))))
+        return sorted(map(repr, got.distinct().collect())) == sorted(map(repr, table.distinct().collect()))
+
+    def ids(nodes):
+        return F.transform(nodes, lambda x: F.struct(x["node_id"].alias("node_id")))
+
+    div = n.where("tag = 'div'")
+    assert same(select.children(n, div).select("doc_id", "node_id"), lambda d: ids(select.children_of("nodes", d)))
+    assert same(select.parent(n, div).select("doc_id", "node_id"), lambda d: ids(F.array(select.parent_of("nodes", d))))
+    for reverse in (False, True):
+
+        def walk(d):
+            place = lambda x, i: F.struct(x["node_id"].alias("node_id"), d["node_id"].alias("root_id"), i.alias("position"))
+            return F.transform(select.subtree_of("nodes", d, reverse=reverse), place)  # noqa: B023
+
+        assert same(select.descendants(n, div, reverse=reverse).select("doc_id", "node_id", "root_id", "position"), walk)
+    assert same(select.text_components(n, div), lambda d: F.array(F.struct(d["node_id"].alias("node_id"), select.texts_of("nodes", d).alias("components"))))
+    body, some = n.where("tag = 'body'"), n.where("tag IN ('div', 'article')")
+    places = rows.select("doc_id", F.explode(select.elements_of("nodes", "body")).alias("b"), "nodes").select("doc_id", "b", F.explode(select.elements_of("nodes", "div")).alias("d"))
+    places = places.select("doc_id", select.index_in(F.col("b"), F.col("d")).alias("index")).where("index IS NOT NULL")
+    table = select.index_of_child(n, body, div).select("doc_id", "index").where("index IS NOT NULL")
+    assert sorted(map(repr, places.collect())) == sorted(map(repr, table.collect())) and places.count() > 50
+    outlines = rows.select("doc_id", select.outline_of("nodes").alias("outline"))
+    assert outlines.exceptAll(select.describe_tree(n)).count() == 0 == select.describe_tree(n).exceptAll(outlines).count()
+    every = rows.select("doc_id", F.explode("nodes").alias("n"))
+    y = every.where(parse.class_in(F.col("n"), "y")).select("doc_id", "n.node_id")
+    assert sorted(map(repr, y.collect())) == sorted(map(repr, n.where(parse.has_class("y")).select("doc_id", "node_id").collect())) and y.count() == 2
+    copies = every.select("doc_id", mutate.copy_of(F.col("n")).alias("c")).select("doc_id", "c.*")
+    assert copies.exceptAll(mutate.copy_rows(n)).count() == 0 == mutate.copy_rows(n).exceptAll(copies).count()
+    parsed.rows.unpersist()
