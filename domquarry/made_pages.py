@@ -520,12 +520,11 @@ _ALL_EDITS = [*((*e[:4], _BODY[1] + e[4] + _BODY[2]) for e in _EDITS), *_DOCUMEN
 
 def _edits(spark, sf_dir):
     """All kinds of edits of trees, a document each, in one pass."""
-    nodes = _parsed(spark, sf_dir, [_EDITED] * len(_ALL_EDITS), mutate.TREE).nodes
     # ids of this one template: document 0, doctype 1, html 2, head 3, body 4, div 5, text 6, p 7, text 8, b 9
     ids = {"document": 0, "div": 5, "p": 7, "b": 9}
-    cases = F.array(*(F.struct(F.lit(n).alias("n"), *mutate.edit(op, ids[on], at, F.lit(9) if op == "move" else None, spec)) for n, (op, on, at, spec, _) in enumerate(_ALL_EDITS, 1)))
-    changes = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(cases).alias("c")).select((F.col("page_id") * 1000 + F.col("c.n")).alias("doc_id"), "c.*").drop("n")
-    return _numbered(mutate.serialize(nodes, changes), "html")
+    own = F.array(*(F.array(F.struct(*mutate.edit(op, ids[on], at, F.lit(9) if op == "move" else None, spec))) for op, on, at, spec, _ in _ALL_EDITS))
+    pages = _made(spark, sf_dir, [_EDITED] * len(_ALL_EDITS)).withColumn("edits", F.get(own, F.col("n").cast("int") - 1))
+    return _numbered(mutate.edit_pages(pages, fields=["node_id"]).docs, "html")
 
 
 _add("markup_edits", _edits, _stated(["html"], [(x,) for *_, x in _ALL_EDITS]), "Appending, inserting, replacing, removing, moving, wrapping, texts, roots and document types.")

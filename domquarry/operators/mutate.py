@@ -276,6 +276,18 @@ def edit_html(df: DataFrame, selector: Selector | str, op: str, at: int | None =
     return _pages(df, [html], id_col, parse, fields, partitions)
 
 
+def edit_pages(df: DataFrame, edits: str = "edits", html: str = "html", id_col: str = "doc_id", fields: list[str] = FIELDS, partitions="auto") -> Parsed:
+    """Parses strings and makes each page's own edits, a column with an array of what ``edit`` gives, before rows are made of the tree: no node is exchanged."""
+
+    def parse(page: str, own: list[dict] | None):
+        builder, encoding, confidence = parse_string(page)
+        if own:
+            _apply_own(dict(enumerate(preorder(builder.document))), [e | {"target": e["node_id"]} for e in own])
+        return builder, encoding, confidence
+
+    return _pages(df, [html, edits], id_col, parse, fields, partitions)
+
+
 def edit_matches(nodes: DataFrame, selector: Selector | str, op: str, at: int | None = None, spec: dict | None = None) -> DataFrame:
     """The same edit for every element that matches, found on the tree that is rebuilt anyway: nodes are read and exchanged once."""
     selector = Selector.of(selector)
